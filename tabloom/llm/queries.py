@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import mixing, near_dedup, quality_rules
+from tabloom.llm import decontaminate, mixing, near_dedup, quality_rules
 from tabloom.llm.common import table
 
 
@@ -22,8 +22,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_near_dedup": op3_near_dedup,
     "op6_mixing": op6_mixing,
+    "op8_decontaminate": op8_decontaminate,
 }

@@ -57,4 +57,25 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1, "op6_mixing": OP6}
+OP8 = r"""
+WITH iw AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL
+), win AS (
+  SELECT DISTINCT item, least(8, len(w)) AS k, array_to_string(w[p:p + 7], ' ') AS gram
+  FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 7) + 1)) AS p FROM iw WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), g AS (
+  SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM dw, (SELECT DISTINCT k FROM win))
+), h AS (SELECT doc_id, g.k, p, item FROM g JOIN win ON g.gram = win.gram AND g.k = win.k),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM h) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": OP1, "op6_mixing": OP6, "op8_decontaminate": OP8}
