@@ -132,6 +132,5 @@ def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_items: i
 
 def keep_clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_items: int = 1) -> DataFrame:
     """The rows of docs in which fewer than least_items items have windows, with the columns of docs."""
-    bad = report(docs, items, width, least_items).filter("contaminated").select("doc_id").distinct()
-    gone = F.col("doc_id").eqNullSafe(F.col("_bad"))
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad"), gone, "left_anti").select(*docs.columns)
+    bad = stored(report(docs, items, width, least_items).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "bad")
+    return docs.join(maybe_broadcast(bad), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)

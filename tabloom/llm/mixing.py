@@ -8,8 +8,8 @@ that fills the rest; the document at the cut gives its first words only. Text is
 and never shuffled.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order;
-sources without words get target 0; ties of the key are ordered by doc_id, size and a hash of
-the text, and rows equal in all of these share one outcome up to their order; an empty table
+sources without words get target 0; ties of the key are ordered by doc_id and a hash of the
+text, and rows equal in all of these share one outcome up to their order; an empty table
 gives an empty result. Extra columns are not read.
 """
 
@@ -64,7 +64,7 @@ def allot(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     sums = d.groupBy("sid", "chunk").agg(F.sum("size").alias("_sum"))
     at = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("sid", "chunk", F.coalesce(F.sum("_sum").over(at), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("sid", "chunk").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "chunk").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target") - full * F.col("source_size"))
@@ -87,20 +87,34 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), n), "")
 
 
+def cuts(plan: DataFrame) -> DataFrame:
+    """One row per source of an allotment that mixes whole epochs and a prefix: source, full
+    (epochs), and the place of the cut: its key, doc_id and tie, and the words that a row there
+    gives (rows equal in all three share what is left evenly)."""
+    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    part = plan.withColumn("full", full).withColumn("over", F.col("taken") - F.col("full") * F.col("size"))
+    # the cut is the last place, in order of the keys, that gives anything beyond whole epochs
+    at = F.struct("key", "doc_id", "tie")
+    per = part.groupBy("source").agg(F.max("full").alias("full"), F.max(F.when(F.col("over") > 0, at)).alias("at"))
+    s = per.select(F.col("source").alias("_s"), F.col("full").alias("_full"), F.col("at").alias("_at"))
+    equal = part.join(s, F.col("source").eqNullSafe(F.col("_s"))).filter(at == F.col("_at")).groupBy("source").agg(F.floor(F.sum("over") / F.count("*")).alias("words"))
+    return per.join(equal.select(F.col("source").alias("_e"), "words"), F.col("source").eqNullSafe(F.col("_e")), "left").select("source", "full", "at", "words")
+
+
 def materialise(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each epoch of a document; the last of a
-    document at a source's cut holds its first words. Documents without words are left out."""
+    """The mix itself, with the columns of docs: a row for each epoch of a document; what a document
+    at a source's cut gives beyond whole epochs is its first words. Documents without words are left
+    out. Each row is decided by its source's cut alone: texts are neither shuffled nor joined by id."""
     cols = docs.columns
+    cut = stored(cuts(allot(sized(docs))), "cuts").select(F.col("source").alias("_s"), "full", "at", "words")
     row = F.struct(*(F.col(f"`{c}`") for c in cols)).alias("_row")
-    sized_ = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("tie")), "sized")
-    plan = allot(sized_).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    # rows equal in doc_id, source and text are told apart by their number
-    plan = plan.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_src", "_tie").orderBy(F.col("_taken").desc())))
-    held = docs.select(row, F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.xxhash64("text").alias("_t"))
-    held = held.withColumn("_m", F.row_number().over(Window.partitionBy("_d", "_s", "_t").orderBy("_t")))
-    both = held.join(plan, F.col("_d").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_src")) & (F.col("_t") == F.col("_tie")) & (F.col("_m") == F.col("_n")))
-    epoch = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))).alias("_e")
-    out = both.select("_row", "_size", "_taken", epoch).withColumn("_words", F.least("_size", F.col("_taken") - (F.col("_e") - 1) * F.col("_size")))
-    text = F.when(F.col("_words") < F.col("_size"), first_words(F.col("_row.text"), F.col("_words").cast("int"))).otherwise(F.col("_row.text"))
-    fixed = {"text": text, "n_chars": F.length(text).cast("long")}
-    return out.select(*((F.when(F.col("_words") < F.col("_size"), fixed[c]).otherwise(F.col("_row")[c]) if c in fixed else F.col("_row")[c]).alias(c) for c in cols))
+    at = F.struct(random_key(F.col("doc_id")).alias("key"), F.col("doc_id"), F.xxhash64("text").alias("tie"))
+    held = docs.filter(F.col("text").rlike(WORD)).select(row, at.alias("_at"), F.col("source").alias("_source"))
+    both = held.join(maybe_broadcast(cut), F.col("_source").eqNullSafe(F.col("_s")))
+    # 0: a whole epoch; else the first words of the text
+    last = F.when(F.col("_at") < F.col("at"), F.array(F.lit(0))).when((F.col("_at") == F.col("at")) & (F.col("words") > 0), F.array(F.col("words").cast("int"))).otherwise(F.array().cast("array<int>"))
+    epochs = F.concat(F.array_repeat(F.lit(0), F.col("full").cast("int")), last)
+    out = both.select("_row", F.explode(epochs).alias("_words"))
+    text = F.when(F.col("_words") > 0, first_words(F.col("_row.text"), F.col("_words"))).otherwise(F.col("_row.text"))
+    fixed = {"text": text} | ({"n_chars": F.when(F.col("_words") > 0, F.length(text)).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in cols else {})
+    return out.select(*((fixed[c] if c in fixed else F.col("_row")[c]).alias(c) for c in cols))

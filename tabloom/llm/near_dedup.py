@@ -236,5 +236,5 @@ def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> Dat
 
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of docs whose doc_id is its group's smallest, with the columns of docs."""
-    gone = link(docs, width, threshold).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(link(docs, width, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
