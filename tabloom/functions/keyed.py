@@ -89,9 +89,16 @@ def uniform(hashed: Column) -> Column:
 
 
 def with_uniforms(df: DataFrame, key: str, seed: int, draws: dict[str, str]) -> DataFrame:
-    """df with a uniform column for each of draws (name: namespace)."""
+    """df with a uniform column for each of draws (name: namespace).
+
+    The uniforms pass through inline(): a filter on them is not pushed below it, where the
+    optimizer would write out the hash, twice its size at each step.
+    """
+    if not draws:
+        return df
     hashed = with_hashes(df, key, {n: salt(seed, ns) for n, ns in draws.items()})
-    return hashed.select(*(uniform(F.col(c)).alias(c) if c in draws else F.col(f"`{c}`") for c in hashed.columns))
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    return hashed.select(*kept, F.inline(F.array(F.struct(*(uniform(F.col(f"`{n}`")).alias(n) for n in draws)))))
 
 
 def _horner(coefficients: tuple[float, ...], x: Column) -> Column:
