@@ -78,4 +78,39 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1, "op6_mixing": OP6, "op8_decontaminate": OP8}
+OP3 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS p FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(v, m) AS (SELECT DISTINCT x, x FROM e UNION SELECT e.y, r.m FROM r JOIN e ON r.v = e.x),
+m AS (SELECT v, min(m) AS m FROM r GROUP BY v)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, w.doc_id)::BIGINT AS component_id, w.doc_id = coalesce(m, w.doc_id) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.v = w.doc_id
+"""
+
+OP7 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM w WHERE len(w) >= 35)),
+r AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM g) WHERE c > 1),
+q AS (SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(range(p, p + 35)) AS q FROM r) GROUP BY doc_id),
+t AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w WHERE doc_id IN (SELECT doc_id FROM q)),
+k AS (SELECT t.doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM t ANTI JOIN (SELECT doc_id, unnest(gone) AS i FROM q) AS z ON t.doc_id = z.doc_id AND t.i = z.i GROUP BY t.doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM w LEFT JOIN q ON q.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+OP9 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS f FROM p GROUP BY h)
+SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha256(p.h) AS payload_digest,
+       CASE WHEN strlen(p.h) >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(p.h) >= 100 AND page_id <> f THEN f END AS refers_to
+FROM p JOIN f ON p.h = f.h
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": OP1, "op3_near_dedup": OP3, "op6_mixing": OP6, "op7_substring_dedup": OP7, "op8_decontaminate": OP8, "op9_warc": OP9}
