@@ -117,7 +117,9 @@ def _split(record: ET.Element, lists: set[str], name: str, keys: dict[str, str])
     ids = {k: v for k, v in row.items() if (k == "id" or k.endswith("_id")) and v is not None}
     yield name, row
     for c in nested:
-        items = list(c) if len(c) and len({x.tag for x in c}) == 1 and all(len(x) for x in c) else [c]
+        if not len(c):
+            continue  # a container without records
+        items = list(c) if len({x.tag for x in c}) == 1 and all(len(x) for x in c) else [c]
         for item in items:
             yield from _split(item, lists, local(c.tag), ids)
 
