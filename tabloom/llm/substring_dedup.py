@@ -40,8 +40,8 @@ from tabloom.llm.hashing import WordHasher, windows
 WIDTH = 35
 #: Words whose probes are sorted and sent together.
 CHUNK = 1_000_000
-#: Hash ranges for each shuffle partition, so that ranges grow with the cluster and spread evenly.
-RANGES = 16
+#: Hash ranges at least; more where there are more than a quarter as many shuffle partitions.
+RANGES = 1024
 
 
 def _column(batch: pa.RecordBatch, name: str) -> list:
@@ -157,7 +157,8 @@ def _find(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]
     block = (width + 1) // 2
     read = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     base = stored(read.mapInArrow(_base(block), "doc_id long, k1 long, k2 long, n_words long, sha string, blocks array<long>"), "base")
-    ranges = 1 << (RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(RANGES, 1 << (4 * partitions - 1).bit_length())
     probes = read.select("text").mapInArrow(_probes(block, ranges), "range int, hashes array<long>").repartition("range")
     each = probes.select("range", F.explode("hashes").alias("h")).select("range", F.col("h").bitwiseAND(F.lit(-2).cast("long")).alias("block"), F.col("h").bitwiseAND(F.lit(1).cast("long")).alias("own"))
     met = each.groupBy("range", "block").agg(F.count("*").alias("n"), F.max("own").alias("own")).filter("n > 1 AND own = 1")
