@@ -1,7 +1,8 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index stores a posting (term, document, position) for every training token whose term some
-benchmark item uses; terms stand as 64-bit hashes. Document frequencies come from the stored
+benchmark item uses; terms stand as 64-bit hashes. A document is its doc_id and a 64-bit hash of
+its text (doc, key), so that texts under one id stay apart. Document frequencies come from the stored
 postings. A window (8 consecutive item words, or a whole shorter item) is looked up by its
 rarest term: each posting of it proposes a start, the position less the term's offset. The
 list of the second rarest term, adjusted by its offset, is intersected next; what survives is
@@ -13,9 +14,8 @@ The benchmark's vocabulary and windows are broadcast up to BROADCAST_ROWS rows;
 the same joins shuffle.
 
 Defined results: null or empty text has no words; an item without words or id has no windows;
-items that share an id are one item; rows that share a doc_id are judged by all their texts
-together and reported row by row; a null doc_id is an id of its own; no items: the digest of
-the empty string. Extra columns are not read.
+items that share an id are one item; each row is judged by its own text alone, also where its
+doc_id is null or repeated; no items: the digest of the empty string. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from tabloom.llm.common import LOWER, UPPER, alnum_words, maybe_broadcast, store
 WIDTH = 8
 LEAST_ITEMS = 2
 _NO_ID = -(1 << 63)
+#: What tells documents apart.
+_DOC = ["doc", "key"]
 #: ALNUM_GAP before lower-casing: capitals belong to words.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -38,6 +40,10 @@ def _term(word: Column) -> Column:
     return F.xxhash64(low)
 
 
+def _key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     """item (string), window, k (words), terms (array of hashes) of the items' windows."""
     w = items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), alnum_words(F.col("text")).alias("w")).filter("size(w) > 0")
@@ -47,10 +53,12 @@ def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Stored postings (term, doc, pos) of docs for terms. Term 0 at position n: doc has n words."""
+    """Stored postings (term, doc, key, pos) of docs for terms. Term 0 at position n: a row of n words."""
     words = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), _GAP), lambda x: x != "")
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), F.posexplode(F.array_append(words, F.lit(""))).alias("pos", "word"))
-    rows = rows.select(F.when(F.col("word") == "", F.lit(0).cast("long")).otherwise(_term(F.col("word"))).alias("term"), "doc", "pos")
+    # in two steps: in one, Spark hashes the text again for each word
+    keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), _key().alias("key"), F.array_append(words, F.lit("")).alias("words"))
+    rows = keyed.select(*_DOC, F.posexplode("words").alias("pos", "word"))
+    rows = rows.select(F.when(F.col("word") == "", F.lit(0).cast("long")).otherwise(_term(F.col("word"))).alias("term"), *_DOC, "pos")
     wanted = stored(terms.union(terms.sparkSession.range(1).select(F.lit(0).cast("long"))).distinct(), "terms")
     return stored(rows.join(maybe_broadcast(wanted), "term", "left_semi"), "postings")
 
@@ -65,39 +73,39 @@ def _ranked(postings: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def phrases(postings: DataFrame, windows: DataFrame) -> DataFrame:
-    """Exact matches: window, doc, start, k, distinct."""
+    """Exact matches: window, doc, key, start, k, distinct."""
     ranked = _ranked(postings, windows)
     of = lambda r: maybe_broadcast(stored(ranked.filter(r), "rank"))
-    found = postings.join(of("rank = 1"), "term").select("window", "k", "doc", (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
+    found = postings.join(of("rank = 1"), "term").select("window", "k", *_DOC, (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
     second = of("rank = 2").select("window", F.col("term").alias("term2"), F.col("off").alias("off2"))
     two = found.filter("k >= 2").join(F.broadcast(second) if second.limit(200_001).count() <= 200_000 else second, "window")
-    two = two.select("window", "k", "doc", "start", F.col("term2").alias("term"), (F.col("start") + F.col("off2")).alias("pos"))
+    two = two.select("window", "k", *_DOC, "start", F.col("term2").alias("term"), (F.col("start") + F.col("off2")).alias("pos"))
     listed = postings.join(maybe_broadcast(stored(ranked.filter("rank = 2").select("term").distinct(), "second")), "term", "left_semi")
-    met = two.join(listed, ["term", "doc", "pos"], "left_semi").select("window", "k", "doc", "start")
+    met = two.join(listed, ["term", *_DOC, "pos"], "left_semi").select("window", "k", *_DOC, "start")
     alive = stored(found.filter("k = 1").unionByName(met).distinct(), "met")
-    there = stored(alive.filter("k > 2").select("doc").distinct(), "alive")
-    held = postings.join(maybe_broadcast(there), "doc", "left_semi")
-    more = alive.filter("k > 2").join(of("rank > 2").drop("k"), "window").select("window", "k", "doc", "start", "term", (F.col("start") + F.col("off")).alias("pos"))
-    whole = more.join(held, ["term", "doc", "pos"], "left_semi").groupBy("window", "k", "doc", "start").agg(F.count("*").alias("n")).filter("n = k - 2")
+    there = stored(alive.filter("k > 2").select(*_DOC).distinct(), "alive")
+    held = postings.join(maybe_broadcast(there), _DOC, "left_semi")
+    more = alive.filter("k > 2").join(of("rank > 2").drop("k"), "window").select("window", "k", *_DOC, "start", "term", (F.col("start") + F.col("off")).alias("pos"))
+    whole = more.join(held, ["term", *_DOC, "pos"], "left_semi").groupBy("window", "k", *_DOC, "start").agg(F.count("*").alias("n")).filter("n = k - 2")
     return alive.filter("k <= 2").unionByName(whole.drop("n"))
 
 
 def proximity(postings: DataFrame, windows: DataFrame, slack: int = 4) -> DataFrame:
-    """window, doc, pos: places of a window's rarest term around which all its terms stand, in any
+    """window, doc, key, pos: places of a window's rarest term around which all its terms stand, in any
     order, no farther than k + slack words away."""
     ranked = _ranked(postings, windows)
     reach = windows.agg(F.max("k")).first()[0] or 1
     cell = reach + slack
     rare = maybe_broadcast(stored(ranked.filter("rank = 1").select("window", "k", "term"), "rare"))
-    at = postings.join(rare, "term").select("window", "k", "doc", "pos")
+    at = postings.join(rare, "term").select("window", "k", *_DOC, "pos")
     rest = ranked.filter("rank > 1").select("window", "term").distinct()
     need = rest.groupBy("window").agg(F.count("*").alias("need"))
     want = at.join(maybe_broadcast(stored(rest, "rest")), "window")
     near = want.withColumn("cell", F.explode(F.array(*(F.floor(F.col("pos") / cell) + d for d in (-1, 0, 1)))))
-    there = postings.select("term", "doc", F.col("pos").alias("p"), F.floor(F.col("pos") / cell).alias("cell"))
-    hits = near.join(there, ["term", "doc", "cell"]).filter(F.abs(F.col("p") - F.col("pos")) <= F.col("k") + slack)
-    got = hits.groupBy("window", "doc", "pos").agg(F.count_distinct("term").alias("n")).join(need, "window").filter("n = need").drop("n", "need")
-    single = at.join(need, "window", "left_anti").select("window", "doc", "pos")
+    there = postings.select("term", *_DOC, F.col("pos").alias("p"), F.floor(F.col("pos") / cell).alias("cell"))
+    hits = near.join(there, ["term", *_DOC, "cell"]).filter(F.abs(F.col("p") - F.col("pos")) <= F.col("k") + slack)
+    got = hits.groupBy("window", *_DOC, "pos").agg(F.count_distinct("term").alias("n")).join(need, "window").filter("n = need").drop("n", "need")
+    single = at.join(need, "window", "left_anti").select("window", *_DOC, "pos")
     return got.unionByName(single).distinct()
 
 
@@ -112,25 +120,30 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: a["n"])
 
 
-def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_items: int = LEAST_ITEMS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
+def _judged(docs: DataFrame, items: DataFrame, width: int, least_items: int) -> DataFrame:
+    """The columns of report() and key for each row of docs."""
     windows = stored(item_windows(items, width), "windows")
     postings = index(docs, windows.select(F.explode("terms").alias("term")))
     matches = stored(phrases(postings, windows), "matches")
-    hit = matches.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "k"))).alias("spans")).select("doc", _covered(F.col("spans")).alias("n_hit"))
+    hit = matches.groupBy(*_DOC).agg(F.sort_array(F.collect_set(F.struct("start", "k"))).alias("spans")).select(*_DOC, _covered(F.col("spans")).alias("n_hit"))
     names = maybe_broadcast(stored(windows.select("window", "item").distinct(), "names"))
-    by = matches.select("window", "doc").distinct().join(names, "window").groupBy("doc").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    found = hit.join(by, "doc")
-    rows = postings.filter("term = 0").select("doc", F.col("pos").cast("long").alias("n_words")).join(found, "doc", "left")
+    by = matches.select("window", *_DOC).distinct().join(names, "window").groupBy(*_DOC).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = hit.join(by, _DOC)
+    rows = postings.filter("term = 0").select(*_DOC, F.col("pos").cast("long").alias("n_words")).join(found, _DOC, "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     n_items = F.size(items_).cast("long")
     return rows.select(
         F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), n_items.alias("n_items"),
-        F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (n_items >= least_items).alias("contaminated"),
+        F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (n_items >= least_items).alias("contaminated"), "key",
     )
 
 
+def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_items: int = LEAST_ITEMS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
+    return _judged(docs, items, width, least_items).drop("key")
+
+
 def keep_clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_items: int = 1) -> DataFrame:
     """The rows of docs in which fewer than least_items items have windows, with the columns of docs."""
-    bad = stored(report(docs, items, width, least_items).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "bad")
-    return docs.join(maybe_broadcast(bad), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
+    bad = stored(_judged(docs, items, width, least_items).filter("contaminated").select(F.col("doc_id").alias("_bad"), F.col("key").alias("_bad_key")).distinct(), "bad")
+    return docs.join(maybe_broadcast(bad), F.col("doc_id").eqNullSafe(F.col("_bad")) & (_key() == F.col("_bad_key")), "left_anti").select(*docs.columns)
