@@ -15,8 +15,8 @@ Documents of equal word sequences form a class. A class of several has every win
 so all its words go if it has WIDTH; only one of it takes part in step 2. Windows are known by
 64-bit hashes of their words.
 
-Joins of texts are on doc_id with the list of documents that hold anchors, which is broadcast
-up to BROADCAST_ROWS rows and shuffled beyond.
+Joins of texts are on doc_id and a 64-bit hash of the text with the list of documents that hold
+anchors, which is broadcast up to BROADCAST_ROWS rows and shuffled beyond.
 
 Defined results: null or empty text has no words and keeps none (digest of the empty string);
 rows are documents, so a row that is repeated is a copy; doc_id may be null or repeated. Extra
@@ -73,7 +73,7 @@ def _base(block: int):
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 blocks.append((windows(h, block)[::block] & ~np.uint64(1)).view(np.int64))
-            yield pa.record_batch([b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(n, pa.int64()), pa.array(sha), _lists(blocks, pa.int64())], names=["doc_id", "k1", "k2", "n_words", "sha", "blocks"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(n, pa.int64()), pa.array(sha), _lists(blocks, pa.int64())], names=["doc_id", "text_key", "k1", "k2", "n_words", "sha", "blocks"])
 
     return run
 
@@ -118,7 +118,7 @@ def _extend(width: int, block: int):
             for key1, key2, text, anchors in zip(*(_column(b, c) for c in ("k1", "k2", "text", "anchors")), strict=True):
                 h = hasher((text or b"").split())
                 if len(h) < width or _sequence_key(h) != (key1, key2):
-                    continue  # another text of the same doc_id
+                    continue  # another text of the same doc_id and hash
                 last = len(h) - width
                 starts = (np.asarray(anchors)[:, None] * block - np.arange(width - block + 1)[None, :]).ravel()
                 starts = np.unique(starts[(starts >= 0) & (starts <= last)])
@@ -135,10 +135,15 @@ def _cut(width: int):
     """What is left of a document without the words under its repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
         for b in batches:
-            gone, kept = [], []
-            for text, starts in zip(_column(b, "text"), _column(b, "starts"), strict=True):
+            k1, k2, gone, kept = [], [], [], []
+            for key1, key2, text, starts in zip(*(_column(b, c) for c in ("k1", "k2", "text", "starts")), strict=True):
                 words = (text or b"").split()
+                if _sequence_key(hasher(words)) != (key1, key2):
+                    continue  # another text of the same doc_id and hash
+                k1.append(key1)
+                k2.append(key2)
                 edge = np.zeros(len(words) + 1, np.int64)
                 s = np.unique(np.asarray(starts))
                 np.add.at(edge, s, 1)
@@ -147,7 +152,7 @@ def _cut(width: int):
                 gone.append(int(under.sum()))
                 kept.append(b" ".join(w for w, u in zip(words, under.tolist(), strict=True) if not u))
             sha = [hashlib.sha256(k).hexdigest() for k in kept]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(gone, pa.int64()), pa.array(sha), pa.array(kept, pa.binary()).cast(pa.string())], names=["k1", "k2", "n_removed", "kept_sha", "kept"])
+            yield pa.record_batch([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], names=["k1", "k2", "n_removed", "kept_sha", "kept"])
 
     return run
 
@@ -155,8 +160,8 @@ def _cut(width: int):
 def _find(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """base (a row per document), classes (k1, k2, copies) and cut (k1, k2, n_removed, kept_sha, kept)."""
     block = (width + 1) // 2
-    read = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    base = stored(read.mapInArrow(_base(block), "doc_id long, k1 long, k2 long, n_words long, sha string, blocks array<long>"), "base")
+    read = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    base = stored(read.mapInArrow(_base(block), "doc_id long, text_key long, k1 long, k2 long, n_words long, sha string, blocks array<long>"), "base")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(RANGES, 1 << (4 * partitions - 1).bit_length())
     probes = read.select("text").mapInArrow(_probes(block, ranges), "range int, hashes array<long>").repartition("range")
@@ -165,11 +170,13 @@ def _find(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]
     anchors = maybe_broadcast(stored(met.select("block"), "anchors"))
 
     whole = base.filter(F.col("n_words") >= width)
-    classes = stored(whole.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("blocks").alias("blocks")), "classes")
-    hits = classes.select("k1", "k2", "doc_id", F.posexplode("blocks").alias("pos", "block")).join(anchors, "block", "left_semi")
-    held = stored(hits.groupBy("k1", "k2", "doc_id").agg(F.collect_list("pos").alias("anchors")), "hits")
-    named = maybe_broadcast(held.withColumnRenamed("doc_id", "_doc"))
-    texts = stored(read.join(named, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("k1", "k2", "text", "anchors"), "texts")
+    one = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")).alias("one")
+    grouped = whole.groupBy("k1", "k2").agg(F.count("*").alias("copies"), one, F.first("blocks").alias("blocks"))
+    classes = stored(grouped.select("k1", "k2", "copies", "one.doc_id", "one.text_key", "blocks"), "classes")
+    hits = classes.select("k1", "k2", "doc_id", "text_key", F.posexplode("blocks").alias("pos", "block")).join(anchors, "block", "left_semi")
+    held = stored(hits.groupBy("k1", "k2", "doc_id", "text_key").agg(F.collect_list("pos").alias("anchors")), "hits")
+    named = maybe_broadcast(held.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"}))
+    texts = stored(read.join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))).select("k1", "k2", "text", "anchors"), "texts")
     around = stored(texts.mapInArrow(_extend(width, block), "k1 long, k2 long, at array<int>, hashes array<long>").dropDuplicates(["k1", "k2"]), "windows")
     repeated = around.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     # a class of several needs no windows of its own: all its words go
@@ -184,7 +191,7 @@ def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs."""
     base, classes, cut = _find(docs, width)
     found = classes.join(cut.drop("kept"), ["k1", "k2"], "left").withColumnsRenamed({"k1": "_1", "k2": "_2"})
-    out = base.drop("blocks").join(found, (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")), "left")
+    out = base.drop("blocks", "text_key").join(found, (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")), "left")
     copied = F.coalesce(F.col("copies") > 1, F.lit(False))
     return out.select(
         "doc_id", "n_words", F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),

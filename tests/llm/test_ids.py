@@ -1,6 +1,10 @@
 """Documents whose doc_id is null or repeated, each with a text of its own."""
 
-from tabloom.llm import decontaminate
+import hashlib
+import random
+from collections import Counter
+
+from tabloom.llm import decontaminate, substring_dedup
 
 ITEMS = [(1, "one two three four five six seven eight"), (2, "red green blue")]
 #: Null-id halves of an item, whose words would make it whole if laid over each other.
@@ -18,3 +22,26 @@ def test_decontaminate_judges_each_text_alone(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     clean = decontaminate.keep_clean(docs, items)
     assert sorted(map(repr, map(tuple, clean.collect()))) == sorted(map(repr, DOCS[:3] + DOCS[4:5] + DOCS[6:9]))
+
+
+def _say(n, seed):
+    rng = random.Random(seed)
+    return " ".join(f"v{rng.randrange(500)}" for _ in range(n))
+
+
+def test_substring_dedup_cuts_each_text_alone(spark):
+    """A passage in documents of null or shared doc_id, beside longer, shorter and repeated texts."""
+    shared = _say(40, 1)
+    docs = [
+        (None, _say(50, 2) + " " + shared), (None, shared + " " + _say(30, 3)), (None, _say(60, 4)), (None, _say(3, 5)), (None, None), (None, _say(45, 6)), (None, _say(45, 6)),
+        (7, _say(90, 7) + " " + shared), (7, _say(40, 8)), (7, _say(200, 9)), (8, shared), (8, shared), (9, _say(70, 10)),
+    ]
+    words = [(d, (t or "").encode().split()) for d, t in docs]
+    seen = Counter(tuple(w[i : i + 35]) for _, w in words for i in range(len(w) - 34))
+
+    def brute(w):
+        gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        return len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest()
+
+    got = substring_dedup.digest(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((d, *brute(w))) for d, w in words)
