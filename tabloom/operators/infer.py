@@ -107,7 +107,7 @@ class Inference:
 
     @cached_property
     def parents(self) -> dict[str, Link]:
-        """The parent of each child table; of a cycle the link of least coverage goes."""
+        """The parent of each child table; of a cycle the link of least coverage goes. References are to roots only."""
         self.references: dict[str, list[Link]] = {}
         out: dict[str, Link] = {}
         for t in self.facts:
@@ -120,6 +120,11 @@ class Inference:
             worst = min(loop, key=lambda t: out[t].coverage)
             self.warnings.append(f"{worst}: dropped parent link to {out[worst].parent!r} to break a cycle in the inferred parent graph")
             del out[worst]
+        for t, links in self.references.items():
+            for x in links:
+                if x.parent in out:
+                    self.warnings.append(f"{t}: column {x.column!r} holds keys of {x.parent!r}, which is a child table that a plan can't reference; kept as a plain column")
+            self.references[t] = [x for x in links if x.parent not in out]
         return out
 
     def _cycle(self, links: dict[str, Link]) -> list[str]:
