@@ -9,13 +9,14 @@ import fnmatch
 import math
 from dataclasses import dataclass, field, replace
 from functools import cached_property
+from itertools import permutations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators.fit import date_range
 from tabloom.operators.scan import COVERAGE
-from tabloom.operators.stats import Facts, containment, facts, median, micros, pow2_above, q, spearman, top_values, value_counts
+from tabloom.operators.stats import Facts, containments, facts, median, micros, pow2_above, q, spearman, top_values, value_counts
 from tabloom.plans.spec import Column, Copula, Delay, Law, Plan, Table, dump, parse
 
 STRING_MOST, STRING_TOP, INT_MOST, RHO = 200, 20, 20, 0.3
@@ -46,9 +47,6 @@ class Inference:
     def rows(self, t: str) -> int:
         return next((f.rows for f in self.facts[t].values()), 0)
 
-    def _contained(self, child: str, column: str, parent: str, key: str) -> float:
-        return containment(self.frames[child], column, self.frames[parent], key)
-
     # --- keys -------------------------------------------------------------------------------
 
     @cached_property
@@ -59,50 +57,48 @@ class Inference:
     @cached_property
     def forced(self) -> dict[str, Link]:
         """Tables whose unique column is another table's key: the table of fewer rows is the child."""
+        shared = [(c, a, b) for a, b in permutations(self.unique, 2) for c in self.unique[a] if c in self.unique[b]]
+        shares = containments([(self.frames[a], c, self.frames[b], c) for c, a, b in shared])
+        holds = {pair: share for pair, share in zip(shared, shares, strict=True) if share >= COVERAGE}
+        # of two tables that hold each other's values the one with more rows is above, the first name among equals
+        above = lambda t: (-self.rows(t), t)
+        claims = sorted((c, sorted((a, b)), a, b) for c, a, b in holds if (c, b, a) not in holds or above(b) < above(a))
         out: dict[str, Link] = {}
-        holders: dict[str, list[str]] = {}
-        for t, columns in self.unique.items():
-            for c in columns:
-                holders.setdefault(c, []).append(t)
-        for c in sorted(holders):
-            for i, a in enumerate(holders[c]):
-                for b in holders[c][i + 1 :]:
-                    share = {a: self._contained(a, c, b, c), b: self._contained(b, c, a, c)}
-                    inside = [t for t in (a, b) if share[t] >= COVERAGE]
-                    if not inside:
-                        continue
-                    child = inside[0] if len(inside) == 1 else max((a, b), key=lambda t: (-self.rows(t), t))
-                    parent = b if child == a else a
-                    if child in out:
-                        self.warnings.append(f"{child}: key column {c!r} also collides with {parent!r}'s key; keeping the first match ({out[child].parent!r})")
-                    else:
-                        out[child] = Link(c, parent, share[child])
+        for c, _, child, parent in claims:
+            if child in out:
+                self.warnings.append(f"{child}.{c} could also be the key of {parent}; {child} stays under {out[child].parent}")
+            out.setdefault(child, Link(c, parent, holds[c, child, parent]))
         return out
 
     @cached_property
     def keys(self) -> dict[str, str]:
         out = {}
         for t, columns in self.unique.items():
-            taken = self.forced.get(t)
-            free = [c for c in columns if taken is None or c != taken.column]
-            likely = sorted(c for c in free if c == "id" or c.endswith("_id"))
-            out[t] = (likely or free or [f"{t}_id"])[0]
+            lent = {self.forced[t].column} if t in self.forced else set()
+            free = [c for c in columns if c not in lent]
+            named = [c for c in free if c == "id" or c.endswith("_id")]
+            out[t] = min(named) if named else free[0] if free else f"{t}_id"
             if not free:
-                why = f"primary-key column {taken.column!r} is itself a foreign key into {taken.parent!r} (parent-as-pk rule)" if taken else "no unique non-null column found"
-                self.warnings.append(f"{t}: {why}; minted synthetic primary key {out[t]!r}")
+                why = f"its only unique column {min(lent)} is the key of {self.forced[t].parent} (parent-as-pk)" if lent else "it has no unique column without nulls"
+                self.warnings.append(f"{t} gets the new key {out[t]}: {why}")
         return out
 
     # --- links ------------------------------------------------------------------------------
 
-    def _links(self, t: str) -> list[Link]:
-        skip = {self.keys[t]} | ({self.forced[t].column} if t in self.forced else set())
-        out = []
-        for c, f in self.facts[t].items():
-            for p in self.facts:
-                if p != t and c not in skip and self.keys[p] == c and c in self.facts[p]:
-                    share = self._contained(t, c, p, c)
-                    if share >= COVERAGE:
-                        out.append(Link(c, p, share, f.rows / f.n_unique if f.n_unique else math.inf))
+    @cached_property
+    def links(self) -> dict[str, list[Link]]:
+        """Each table's columns that hold other tables' keys. All shares come from one job."""
+        owners = {t: k for t, k in self.keys.items() if k in self.facts[t]}
+        pairs = [
+            (t, c, p) for t in self.facts for c in self.facts[t] for p, k in owners.items()
+            if c == k and p != t and c != self.keys[t] and (t not in self.forced or c != self.forced[t].column)
+        ]
+        shares = containments([(self.frames[t], c, self.frames[p], c) for t, c, p in pairs])
+        out: dict[str, list[Link]] = {t: [] for t in self.facts}
+        for (t, c, p), share in zip(pairs, shares, strict=True):
+            f = self.facts[t][c]
+            if share >= COVERAGE:
+                out[t].append(Link(c, p, share, f.rows / f.n_unique if f.n_unique else math.inf))
         return out
 
     @cached_property
@@ -111,19 +107,19 @@ class Inference:
         self.references: dict[str, list[Link]] = {}
         out: dict[str, Link] = {}
         for t in self.facts:
-            links = self._links(t)
+            links = self.links[t]
             best = self.forced.get(t) or min(links, key=lambda x: (x.mean_children, x.parent), default=None)
             if best is not None:
                 out[t] = best
             self.references[t] = [x for x in links if x is not best]
         while loop := self._cycle(out):
             worst = min(loop, key=lambda t: out[t].coverage)
-            self.warnings.append(f"{worst}: dropped parent link to {out[worst].parent!r} to break a cycle in the inferred parent graph")
+            self.warnings.append(f"{worst} becomes a root: its link to {out[worst].parent} closes a circle of parents")
             del out[worst]
         for t, links in self.references.items():
             for x in links:
                 if x.parent in out:
-                    self.warnings.append(f"{t}: column {x.column!r} holds keys of {x.parent!r}, which is a child table that a plan can't reference; kept as a plain column")
+                    self.warnings.append(f"{t}: {x.column!r} holds keys of {x.parent!r}, a child table, which a plan can't reference; it stays a plain column")
             self.references[t] = [x for x in links if x.parent not in out]
         return out
 
@@ -153,10 +149,10 @@ class Inference:
         elif f.type in ("int64", "float64"):
             law = spread
         elif f.n_unique > STRING_MOST:
-            self.warnings.append(f"high-cardinality string column {t}.{c} omitted")
+            self.warnings.append(f"{t}.{c} is left out: {f.n_unique} different strings")
             return None
         elif f.n_unique == 0:
-            self.warnings.append(f"string column {t}.{c} without values omitted")
+            self.warnings.append(f"{t}.{c} is left out: it holds no values")
             return None
         else:
             law, tied = even([r["value"] for r in top_values(self.frames[t], c, STRING_TOP).collect()]), False
@@ -222,7 +218,7 @@ class Inference:
         if link is not None:
             columns[link.column] = Column(link.column, "int64", "parent_key")
         if any(c in self.facts[t] and self.facts[t][c].type == "string" for c in list(columns)):
-            self.warnings.append(f"{t}: real key column(s) use string ids in the source data; mapped to synthetic int64 keys")
+            self.warnings.append(f"{t} has keys of strings; generated ones are int64")
         for r in sorted(self.references[t], key=lambda r: (r.column, r.parent)):
             columns[r.column] = Column(r.column, "int64", distribution=Law("zipf", {"a": 0.5, "n": self.rows(r.parent)}), reference=r.parent, null_rate=self._nulls(t, r.column))
         left = {c: f for c, f in self.facts[t].items() if c not in columns}

@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.plans.spec import pow2_above as pow2_above
+
 #: Rows up to which the built-in exact median (one task's memory) is used.
 MEDIAN_ROWS = 10_000_000
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -47,10 +50,6 @@ def iso_seconds(seconds: int) -> str:
     return (EPOCH + timedelta(seconds=seconds)).isoformat()
 
 
-def pow2_above(n: int) -> int:
-    return 1 << max(n, 1).bit_length()
-
-
 def distinct_counts(df: DataFrame) -> DataFrame:
     """column, n_unique (non-null). Columns are unpivoted, so there is one shuffle for all of them."""
     pairs = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in df.columns)))
@@ -177,8 +176,8 @@ def spearman(df: DataFrame, a: str, b: str) -> tuple[float, int]:
     return (rho if n >= 2 and rho is not None and math.isfinite(rho) else 0.0), n
 
 
-def containment(child: DataFrame, column: str, parent: DataFrame, key: str) -> float:
-    """Share of the child's non-null values that are among the parent's; 0 if types don't meet.
+def _inside(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
+    """inside, total: the child's non-null values that are among the parent's, and all of them.
 
     Values are counted first, so a value that a third of all rows hold is one row of the join.
     """
@@ -186,8 +185,20 @@ def containment(child: DataFrame, column: str, parent: DataFrame, key: str) -> f
     values = value_counts(child, column).select(F.expr("try_cast(value AS %s)" % kind.simpleString()).alias("value"), "n")
     keys = parent.select(q(key).alias("value")).filter("value IS NOT NULL").distinct()
     hit = values.join(keys.withColumn("hit", F.lit(1)), "value", "left")
-    inside, total = hit.agg(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.sum("n")).first()
-    return (inside or 0) / total if total else 0.0
+    return hit.agg(F.sum(F.when(F.col("hit") == 1, F.col("n"))).alias("inside"), F.sum("n").alias("total"))
+
+
+def containments(links: list[tuple[DataFrame, str, DataFrame, str]]) -> list[float]:
+    """For each (child, column, parent, key) the share of the child's non-null values that are among
+    the parent's; 0 if types don't meet. One job for all links."""
+    parts = [_inside(*x).withColumn("link", F.lit(i)) for i, x in enumerate(links)]
+    rows = reduce(DataFrame.unionByName, parts).collect() if parts else []
+    share = {r["link"]: (r["inside"] or 0) / r["total"] if r["total"] else 0.0 for r in rows}
+    return [share[i] for i in range(len(links))]
+
+
+def containment(child: DataFrame, column: str, parent: DataFrame, key: str) -> float:
+    return containments([(child, column, parent, key)])[0]
 
 
 def children_per_parent(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataFrame:

@@ -138,6 +138,11 @@ class Plan:
         return [t for t in self.tables.values() if t.parent == name]
 
 
+def pow2_above(n: int) -> int:
+    """The power of two above n, 2 at least: keys that a parent of up to n children sets aside."""
+    return 1 << max(n, 1).bit_length()
+
+
 def parents_first(parent: dict[str, str | None]) -> list[str]:
     """Names so that each comes after its parent; MetadataError names a table on a cycle."""
     out: dict[str, None] = {}

@@ -17,7 +17,7 @@ from tabloom.operators.generate import generate, repair
 from tabloom.operators.infer import infer
 from tabloom.operators.validate import checks, violations
 from tabloom.plans.spec import Law, parse
-from tests.test_plans import RETAIL
+from tests.test_plans import LIBRARY
 
 # From the public definition: seed 42, namespace customers.age, keys 0, 1, 2.
 GOLDEN = [0x8976820EC15A4073, 0xBD32D85A73BE1F9B, 0xC98F0F1452AF79E7]
@@ -60,28 +60,28 @@ def test_zipf_is_one_rule_for_small_and_large_tables(spark):
 
 
 def test_partitions_do_not_matter(spark):
-    plan = parse(RETAIL)
+    plan = parse(LIBRARY)
     one, many = generate(spark, plan, partitions=1), generate(spark, plan, partitions=7)
     for n in one:
         a, b = ({tuple(r) for r in x[n].collect()} for x in (one, many))
         assert a == b and len(a) == one[n].count()
-    other = generate(spark, plan, seed=43)
-    assert {r.age for r in other["customers"].limit(50).collect()} != {r.age for r in one["customers"].limit(50).collect()}
+    other = generate(spark, plan, seed=8)
+    assert {r.years for r in other["members"].limit(50).collect()} != {r.years for r in one["members"].limit(50).collect()}
 
 
 def test_generated_tables_keep_their_promises(spark):
-    plan = parse(RETAIL)
+    plan = parse(LIBRARY)
     frames = {n: df.cache() for n, df in generate(spark, plan).items()}
     assert violations(plan, frames) == []
-    assert [c for c, _ in frames["orders"].dtypes] == ["order_id", "customer_id", "order_total", "shipped_at", "ordered_at", "order_total_eur"]
-    rho = frames["customers"].select(F.corr("age", F.log("income"))).first()[0]
-    assert abs(rho - 0.55) < 0.1
-    nulls = frames["orders"].select(F.avg(F.col("order_total").isNull().cast("int"))).first()[0]
-    assert 0 < nulls < 0.03
-    lone = frames["orders"].filter("customer_id < 400").unionByName(frames["orders"].limit(5))
-    broken = {"customers": frames["customers"].filter("customer_id <> 7").withColumn("signup_at", F.col("signup_at") + F.expr("interval 1000 days")), "orders": lone}
+    assert [c for c, _ in frames["loans"].dtypes] == ["loan_id", "member_id", "fee", "returned_at", "taken_at", "fee_cents"]
+    rho = frames["members"].select(F.corr("years", F.log("budget"))).first()[0]
+    assert abs(rho - 0.4) < 0.1
+    nulls = frames["loans"].select(F.avg(F.col("fee").isNull().cast("int"))).first()[0]
+    assert 0 < nulls < 0.05
+    lone = frames["loans"].filter("member_id < 300").unionByName(frames["loans"].limit(5))
+    broken = {"members": frames["members"].filter("member_id <> 7").withColumn("joined_at", F.col("joined_at") + F.expr("interval 1000 days")), "loans": lone}
     bad = {(r["table"], r["check"]): r.bad_count for r in checks(plan, broken).collect()}
-    assert bad["customers", "row_count"] == 1 and bad["orders", "primary_key"] >= 5 and bad["orders", "foreign_key"] > 0 and bad["orders", "order"] > 0
+    assert bad["members", "row_count"] == 1 and bad["loans", "primary_key"] >= 5 and bad["loans", "foreign_key"] > 0 and bad["loans", "order"] > 0
     assert len(violations(plan, broken)) == sum(v > 0 for v in bad.values())
 
 
@@ -115,25 +115,25 @@ def test_repair():
 
 
 def test_fit_recovers_what_was_generated(spark):
-    plan = parse(RETAIL)
+    plan = parse(LIBRARY)
     big = replace(plan, tables={n: replace(t, rows=4000) if t.role == "root" else t for n, t in plan.tables.items()})
     frames = {n: df.cache() for n, df in generate(spark, big).items()}
     got = fit(frames, plan)
-    c, o = got.tables["customers"], got.tables["orders"]
-    assert abs(c.columns["income"].distribution.params["mu"] - 10.8) < 0.05
-    assert abs(c.copulas[0].correlation[0][1] - 0.55) < 0.05
-    assert dict(zip(c.columns["region"].distribution.params["categories"], c.columns["region"].distribution.params["probs"], strict=True))["NA"] == pytest.approx(0.5, abs=0.03)
-    assert abs(o.cardinality.params["lam"] - 4.2) < 0.15 and o.child_stride > o.cardinality.params["max"]
-    shipped = o.columns["shipped_at"].temporal.law
-    assert shipped.kind == "lognormal" and abs(shipped.params["mu"] - 11.5) < 0.05 and abs(shipped.params["sigma"] - 0.6) < 0.05
-    assert plan == parse(RETAIL)
+    c, o = got.tables["members"], got.tables["loans"]
+    assert abs(c.columns["budget"].distribution.params["mu"] - 5.2) < 0.05
+    assert abs(c.copulas[0].correlation[0][1] - 0.4) < 0.05
+    assert dict(zip(c.columns["branch"].distribution.params["categories"], c.columns["branch"].distribution.params["probs"], strict=True))["hill"] == pytest.approx(0.5, abs=0.03)
+    assert abs(o.cardinality.params["lam"] - 3.5) < 0.15 and o.child_stride > o.cardinality.params["max"]
+    returned = o.columns["returned_at"].temporal.law
+    assert returned.kind == "lognormal" and abs(returned.params["mu"] - 13.2) < 0.05 and abs(returned.params["sigma"] - 0.4) < 0.05
+    assert plan == parse(LIBRARY)
     with pytest.raises(ValueError, match="clamp"):
         fit(frames, plan, epsilon=1.0)
     with pytest.raises(ValueError, match="epsilon"):
         fit(frames, plan, epsilon=0)
-    held = parse({**RETAIL, "tables": {"customers": {**RETAIL["tables"]["customers"], "columns": {k: v | ({"clamp": [1, 1e6]} if k == "income" else {}) for k, v in RETAIL["tables"]["customers"]["columns"].items()}}}})
-    a, b = (fit({"customers": frames["customers"]}, held, epsilon=5.0, dp_seed=3) for _ in range(2))
-    assert a == b and a != fit({"customers": frames["customers"]}, held)
+    held = parse({**LIBRARY, "tables": {"members": {**LIBRARY["tables"]["members"], "columns": {k: v | ({"clamp": [1, 1e6]} if k == "budget" else {}) for k, v in LIBRARY["tables"]["members"]["columns"].items()}}}})
+    a, b = (fit({"members": frames["members"]}, held, epsilon=5.0, dp_seed=3) for _ in range(2))
+    assert a == b and a != fit({"members": frames["members"]}, held)
 
 
 def test_scan_and_infer(spark):
