@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word of the plain kind: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,8 +17,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: A word of the alphanumeric kind, after ASCII lower-casing.
 ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows up to which a side is broadcast; beyond it the join shuffles.
+#: Rows and bytes up to which a side is broadcast; beyond either the join shuffles.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -27,18 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        if kept:
-            return kept
-        found = tempfile.mkdtemp(prefix="tabloom-")
-        spark.sparkContext.setCheckpointDir(f"file://{found}")
-        return spark.sparkContext.getCheckpointDir()
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    """The folder of spark.checkpoint.dir. A local master (tests) gets one of its own where that is
+    unset; on a cluster, where executors don't share local disks, that is an error."""
+    context = spark.sparkContext
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(found)
+        return found
+    if kept := context.getCheckpointDir():
+        return kept
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tabloom-')}")
+    return context.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -103,6 +106,51 @@ def alnum_words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), ALNUM_GAP), lambda w: w != "")
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else as it is. df should be stored: it is counted."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _bytes(df: DataFrame) -> Column:
+    """About what a row of df takes: eight bytes for a plain column, what it holds for others."""
+    total = F.lit(0).cast("long")
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        match f.dataType:
+            case T.StringType() | T.BinaryType():
+                total += F.coalesce(F.octet_length(c), F.lit(0)) + 8
+            case T.ArrayType(elementType=T.StringType()):
+                total += F.coalesce(F.octet_length(F.array_join(c, " ")), F.lit(0)) + 8 * F.greatest(F.size(c), F.lit(1))
+            case T.ArrayType():
+                total += 8 * F.greatest(F.size(c), F.lit(1))
+            case _:
+                total += 8
+    return total
+
+
+def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes, else as it is. df should be
+    stored: rows are counted in its files' footers, and bytes only if the rows are few enough."""
+    n = df.count()
+    fits = n == 0 or (n <= rows and df.agg(F.sum(_bytes(df))).first()[0] <= size)
+    return F.broadcast(df) if fits else df
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def as_row(docs: DataFrame, **keys: Column) -> DataFrame:
+    """docs with its columns folded into one, _row, beside keys made from them; so no name of docs can
+    clash with a key's. unfolded() is the way back."""
+    return docs.select(F.struct(*map(quoted, docs.columns)).alias("_row"), *(k.alias(n) for n, k in keys.items()))
+
+
+def unfolded(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")
+
+
+def text_key(text: str = "text") -> Column:
+    """64-bit hash of the text, null as empty; with doc_id it tells apart the texts under one id."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def except_keys(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, text) is none of gone (doc_id, text_key; stored)."""
+    rows = as_row(docs, _doc=F.col("doc_id"), _key=text_key())
+    return unfolded(rows.join(maybe_broadcast(gone), F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")), "left_anti"))

@@ -9,47 +9,61 @@ candidate whose estimate is within reach of the threshold is confirmed on the fu
 
 How it keeps work in proportion to the input, whatever the sizes of the groups:
 
-1. Documents with equal shingle sets form a class; only its smallest doc_id goes on.
-2. In each band bucket every class is compared with the bucket's smallest one alone (hub).
+1. Documents with equal shingle sets form a class, known by a number; registers are kept with it.
+2. In each band bucket every class is compared with the bucket's first one alone (hub): estimated
+   on stored registers first; sets are fetched only for pairs that the estimate leaves.
 3. Connected components of the confirmed links (large-star, small-star, on DataFrames).
 4. Only buckets that still hold several components are looked at again: their members outside
-   the bucket's most frequent component are compared exactly with all members of other
-   components. Both sides are cut into blocks of bounded total size, so that no task holds a
-   whole bucket, and a block pair returns one link for each component that it finds.
+   the bucket's most frequent component (strays) are compared exactly with all members of other
+   components.
+
+Comparisons run over groups of bounded size: a hub's or bucket's members are cut into blocks, a
+hub is sent once for each block, and of the links between a stray and one component one is kept.
 
 So every pair that shares a bucket is either confirmed, refuted on its full sets (or by an
-estimate five standard deviations short), or already connected otherwise.
+estimate five standard deviations short), or already connected otherwise. A pair at exactly 0.8
+shares no band with a probability of about 6e-5. exact=True finds those too: step 4 is repeated
+with buckets of another kind, the rarest shingles of each set, of which similar sets share one.
 
 Defined results: a text with fewer words than a shingle is one shingle, the whole sequence; no
-words, empty or null text: no shingles, linked with nothing; a null doc_id is linked with
-nothing and has a null component; repeated rows of a document are one class; equal texts under
-several ids are linked. Extra columns are not read.
+words, empty or null text: no shingles, linked with nothing, kept; repeated rows of a document are
+one class; equal texts under several ids are linked; each row is judged by its own text, also where
+its doc_id is repeated. In link(), which answers with ids, a null doc_id is linked with nothing and
+has a null component. In keep_one(), one row of each group stays, also among null ids and repeated
+rows: that of the smallest id, null last. An empty table gives an empty one. Extra columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import maybe_broadcast, stored
-from tabloom.llm.hashing import WordHasher, windows
+from tabloom.llm.common import as_row, except_keys, maybe_broadcast, stored, text_key, unfolded
+from tabloom.llm.hashing import WordHasher, finish, windows
 
 WIDTH, THRESHOLD = 5, 80  # words of a shingle; similarity in hundredths
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 BASE = 1.01
-#: Shingles that a block of the exact comparison may hold, about.
-BLOCK = 200_000
+#: Standard deviations that an estimate may lie short of the threshold.
+REACH = 5
+#: Members of a hub that one group holds, about.
+SPREAD = 256
+#: Shingles of a bucket's members in one block: BLOCK while that makes at most BLOCKS of them, else as many as it takes, up to MOST.
+BLOCK, BLOCKS, MOST = 25_000, 8, 2_000_000
 
 _ODD = np.random.default_rng(20240229).integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 
 
+# --- sketches ------------------------------------------------------------------------------
+
+
 def shingles(text: bytes | None, hasher: WordHasher, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes; bytes.lower() touches A-Z only, bytes.split() cuts at ASCII white space only."""
     words = (text or b"").lower().split()
@@ -74,8 +88,12 @@ def registers(s: np.ndarray) -> np.ndarray:
 
 
 def band_keys(r: np.ndarray) -> np.ndarray:
-    rows = r.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh3_64_intdigest(rows[i].tobytes(), seed=i) for i in range(BANDS)], np.uint64).view(np.int64)
+    """A hash for each band of each row of registers: sets x BANDS."""
+    parts = r.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2])
+    for i in range(0, ROWS, 3):  # three registers fit into a word
+        key = finish(key * np.uint64(0x9E3779B97F4A7C15) + (parts[:, :, i] << np.uint64(32) | parts[:, :, i + 1] << np.uint64(16) | parts[:, :, i + 2]))
+    return key.view(np.int64)
 
 
 def estimate(ru: np.ndarray, rv: np.ndarray, nu: np.ndarray, nv: np.ndarray) -> np.ndarray:
@@ -94,82 +112,166 @@ def estimate(ru: np.ndarray, rv: np.ndarray, nu: np.ndarray, nv: np.ndarray) ->
     return np.take_along_axis(j, like.argmax(1)[:, None], 1)[:, 0]
 
 
-def _read(batch: pa.RecordBatch, name: str) -> list:
+def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
 def _sketch(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, text_key, text to doc_id, text_key, n_shingles, set_key, registers (null for no shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for b in batches:
-            n, keys, bands = [], [], []
-            for text in _read(b, "text"):
+            n, keys, regs = [], [], []
+            for text in _column(b, "text"):
                 s = shingles(text, hasher, width)
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                bands.append(band_keys(registers(s)) if len(s) else None)
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+                regs.append(registers(s).tobytes() if len(s) else None)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_key", "registers"])
 
     return run
 
 
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """v, n, registers to v, n, band: a row for each band of a class."""
+    for b in batches:
+        for i in range(0, b.num_rows, 2000):
+            part = b.slice(i, 2000)
+            keys = band_keys(np.frombuffer(b"".join(_column(part, "registers")), np.uint16)).ravel()
+            v, n = (np.repeat(part.column(k).to_numpy(zero_copy_only=False), BANDS) for k in (0, 1))
+            yield pa.record_batch([pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64())], names=["v", "n", "band"])
+
+
 def _sets(width: int):
-    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
+    """v, text to v, n, load: the shingles' bytes; each class once in a task, whatever its repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, seen = WordHasher(), set()
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([shingles(t, hasher, width).tobytes() for t in _read(b, "text")], pa.binary())], schema=schema)
+            v, n, loads = [], [], []
+            for k, text in zip(_column(b, "v"), _column(b, "text"), strict=True):
+                if k not in seen:
+                    seen.add(k)
+                    s = shingles(text, hasher, width)
+                    v.append(k)
+                    n.append(len(s))
+                    loads.append(s.tobytes())
+            yield pa.record_batch([pa.array(v, pa.int64()), pa.array(n, pa.int64()), pa.array(loads, pa.binary())], names=["v", "n", "load"])
 
     return run
 
 
-def _similar(common: int, a: int, b: int, threshold: int) -> bool:
-    return 100 * common >= threshold * (a + b - common)
+# --- comparisons ---------------------------------------------------------------------------
+
+#: Of a group's rows: (probe, v, comp, n, load). Probes are compared with the others of other components.
+Rows = list[tuple[bool, int, int, int, bytes]]
 
 
-def _confirm(threshold: int):
-    reach = threshold / 100 - 5 * (threshold / 100 * (1 - threshold / 100) / REGISTERS) ** 0.5
+def _near(threshold: int) -> Callable[[Rows], list[tuple[int, int]]]:
+    """Pairs whose estimated similarity is within reach of the threshold."""
+    t = threshold / 100
+    least = t - REACH * (t * (1 - t) / REGISTERS) ** 0.5
+
+    def judge(rows: Rows) -> list[tuple[int, int]]:
+        probes, others = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+        if not probes or not others:
+            return []
+        held, sizes = np.frombuffer(b"".join(r[4] for r in others), np.uint16).reshape(-1, REGISTERS), np.array([r[3] for r in others])
+        out = []
+        for _, v, _, n, load in probes:
+            near = estimate(np.broadcast_to(np.frombuffer(load, np.uint16), held.shape), held, np.full(len(others), n), sizes)
+            out += [(v, others[i][1]) for i in np.flatnonzero(near >= least)]
+        return out
+
+    return judge
+
+
+def _similar(threshold: int) -> Callable[[Rows], list[tuple[int, int]]]:
+    """Pairs that are similar on their full sets, of a probe and a component one. Members lie in
+    order of size, so that a probe meets only those whose size allows it."""
+
+    def judge(rows: Rows) -> list[tuple[int, int]]:
+        probes, others = [r for r in rows if r[0]], sorted((r for r in rows if not r[0]), key=lambda r: r[3])
+        if not probes or not others:
+            return []
+        sizes, comps = np.array([r[3] for r in others]), np.array([r[2] for r in others])
+        every, at = np.frombuffer(b"".join(r[4] for r in others), np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+        out = {}
+        for _, v, comp, n, load in probes:
+            low, high = np.searchsorted(100 * sizes, threshold * n, "left"), np.searchsorted(threshold * sizes, 100 * n, "right")
+            if low >= high:
+                continue
+            own, met = np.frombuffer(load, np.uint64), every[at[low] : at[high]]
+            hit = own[np.minimum(np.searchsorted(own, met), n - 1)] == met
+            common = np.add.reduceat(hit.astype(np.int64), at[low:high] - at[low])
+            for i in np.flatnonzero(100 * common >= threshold * (sizes[low:high] + n - common)) + low:
+                if comps[i] != comp:
+                    out.setdefault((v, comps[i]), others[i][1])
+        return [(v, w) for (v, _), w in out.items()]
+
+    return judge
+
+
+def _each_group(judge: Callable[[Rows], list[tuple[int, int]]]):
+    """judge over runs of equal (g, i, j) in sorted partitions, whatever batches they fall in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
         for b in batches:
             out = []
-            left, right = _read(b, "sa"), _read(b, "sb")
-            memo: dict[int, np.ndarray] = {}  # hubs come again and again
-            for a, c, x, y in zip(_read(b, "a"), _read(b, "b"), left, right, strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                for k, s in ((a, u), (c, v)):
-                    if k not in memo:
-                        memo[k] = registers(s)
-                near = estimate(memo[a][None], memo[c][None], np.array([len(u)]), np.array([len(v)]))[0]
-                if near >= reach and _similar(len(np.intersect1d(u, v, assume_unique=True)), len(u), len(v), threshold):
-                    out.append((a, c))
-            yield pa.record_batch([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            for g, i, j, *row in zip(*(_column(b, c) for c in ("g", "i", "j", "probe", "v", "comp", "n", "load")), strict=True):
+                if (g, i, j) != key:
+                    out += judge(rows)
+                    key, rows = (g, i, j), []
+                rows.append(tuple(row))
+            yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        out = judge(rows)
+        yield pa.record_batch([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _block_links(threshold: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Strays against members of one block pair, on full sets; one link for a stray and a component."""
-        out = []
-        members = rows[~rows["stray"]]
-        sets = [np.frombuffer(s, np.uint64) for s in members["shingles"]]
-        if sets:
-            ids, comps, sizes = members["rep"].to_numpy(), members["comp"].to_numpy(), np.array([len(s) for s in sets])
-            every, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            for rep, comp, held in rows.loc[rows["stray"], ["rep", "comp", "shingles"]].itertuples(index=False):
-                own = np.frombuffer(held, np.uint64)
-                place = np.minimum(np.searchsorted(own, every), len(own) - 1)
-                common = np.add.reduceat((own[place] == every).astype(np.int64), at)
-                for i in np.flatnonzero((100 * common >= threshold * (sizes + len(own) - common)) & (comps != comp)):
-                    out.append((rep, ids[i], comps[i]))
-        found = pd.DataFrame(out, columns=["a", "b", "comp"]).drop_duplicates(["a", "comp"])
-        return found[["a", "b"]].astype("int64")
+def _compared(rows: DataFrame, judge: Callable[[Rows], list[tuple[int, int]]]) -> DataFrame:
+    dealt = rows.select("g", "i", "j", "probe", "v", "comp", "n", "load").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return dealt.mapInArrow(_each_group(judge), "a long, b long")
 
-    return run
+
+def _part(n: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64("v", F.lit(salt)), n).cast("int")
+
+
+def _stars(pairs: DataFrame, loads: DataFrame, judge: Callable[[Rows], list[tuple[int, int]]]) -> DataFrame:
+    """The pairs (a, b, blk) that judge leaves; loads: v, n, load of both sides. A hub a goes once to
+    each of its blocks."""
+    whole = lambda df, probe: df.select(F.col("a").alias("g"), F.col("blk").alias("i"), F.lit(0).alias("j"), F.lit(probe).alias("probe"), "v", F.col("v").alias("comp"), "n", "load")
+    hubs = pairs.select("a", "blk").distinct().join(loads, F.col("a") == F.col("v"))
+    members = pairs.join(loads, F.col("b") == F.col("v"))
+    return _compared(whole(hubs, True).unionByName(whole(members, False)), judge)
+
+
+def _strays(members: DataFrame, label: DataFrame, fetch: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
+    """Links that join components within buckets. members: g (bucket), v, n; label: v, comp."""
+    m = members.join(label, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    by = m.groupBy("g", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
+    split = by.groupBy("g").agg(F.count("*").alias("comps"), F.max(F.struct("k", "w", "comp")).alias("main"), F.sum("w").alias("w")).filter("comps > 1")
+
+    def blocks(w: Column) -> Column:
+        few = F.ceil(w / BLOCK)
+        return F.when(few <= BLOCKS, few).otherwise(F.greatest(F.lit(BLOCKS), F.ceil(w / MOST))).cast("int")
+
+    split = stored(split.select("g", F.col("main.comp").alias("main"), blocks(F.col("w")).alias("bm"), blocks(F.col("w") - F.col("main.w")).alias("bs")), "split")
+    open_ = stored(m.join(maybe_broadcast(split), "g"), "open")
+    sets = fetch(open_.select("v").distinct())
+    full = open_.drop("n").join(sets, "v").withColumn("odd", F.col("comp") != F.col("main"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    base = ["g", "v", "comp", "n", "load"]
+    strays = full.filter("odd").select(*base, F.lit(True).alias("probe"), _part(F.col("bs"), 1).alias("i"), spread(F.col("bm")).alias("j"))
+    others = full.select(*base, F.lit(False).alias("probe"), spread(F.col("bs")).alias("i"), _part(F.col("bm"), 2).alias("j"))
+    return _compared(strays.unionByName(others), _similar(threshold)).distinct()
+
+
+# --- links ---------------------------------------------------------------------------------
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -193,48 +295,90 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("v").alias("comp")).union(roots)
 
 
-def _links(docs: DataFrame, reps: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Confirmed links between classes that connect all that are connected. Stored."""
-    banded = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    buckets = stored(banded.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).filter("size > 1"), "buckets")
-    members = stored(banded.join(maybe_broadcast(buckets), "band"), "members")
-    involved = stored(members.select("rep").distinct(), "involved")
-    held = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text")).join(maybe_broadcast(involved), "rep", "left_semi")
-    sets = stored(held.mapInArrow(_sets(width), "rep long, shingles binary"), "sets")
-    side = lambda k: sets.select(F.col("rep").alias(k), F.col("shingles").alias(f"s{k}"))
-    pairs = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    first = stored(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(_confirm(threshold), "a long, b long"), "links")
-    label = stored(components(first), "labels")
-
-    m = members.filter("size > 2").join(label.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    by = m.groupBy("band", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
-    split = by.groupBy("band").agg(F.count("*").alias("comps"), F.max(F.struct("k", "w", "comp")).alias("main"), F.sum("w").alias("w")).filter("comps > 1")
-    blocks = lambda w: F.ceil(w / BLOCK).cast("int")
-    split = split.select("band", F.col("main.comp").alias("main"), blocks(F.col("w")).alias("bm"), blocks(F.col("w") - F.col("main.w")).alias("bs"))
-    open_ = m.join(split, "band").join(sets, "rep").select("band", "rep", "comp", "shingles", (F.col("comp") != F.col("main")).alias("odd"), "bm", "bs")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    place = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
-    base = ["band", "rep", "comp", "shingles"]
-    strays = open_.filter("odd").select(*base, F.lit(True).alias("stray"), place(F.col("bs"), 1).alias("i"), spread(F.col("bm")).alias("j"))
-    others = open_.select(*base, F.lit(False).alias("stray"), spread(F.col("bs")).alias("i"), place(F.col("bm"), 2).alias("j"))
-    rest = strays.union(others).groupBy("band", "i", "j").applyInPandas(_block_links(threshold), "a long, b long")
-    return stored(first.union(rest.distinct()), "links")
+def _rarest(sets: DataFrame, threshold: int) -> DataFrame:
+    """g, v, n: as many of each set's rarest shingles that similar sets must share one of them."""
+    each = sets.mapInArrow(_as_lists, "v long, n long, s array<long>").dropDuplicates(["v"]).select("v", "n", F.explode("s").alias("g"))
+    each = stored(each, "shingles")
+    often = each.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = each.join(often, "g").groupBy("v", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("s"))
+    # what stands in no other set comes first and takes up places
+    own = F.col("n") - F.size("s")
+    places = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - own
+    return ranked.filter(places > 0).select("v", "n", F.explode(F.slice("s", F.lit(1), places.cast("int"))).alias("x")).select("x.g", "v", "n")
+
+
+def _as_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lists = [np.frombuffer(x, np.int64) for x in _column(b, "load")]
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["v", "n", "s"])
 
 
-def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+def _labels(docs: DataFrame, classes: DataFrame, width: int, threshold: int, exact: bool) -> DataFrame:
+    """v, comp of the classes (v, doc_id, text_key, n, registers) that are linked with another."""
+    texts = docs.select(F.col("doc_id").alias("_doc"), text_key().alias("_key"), F.col("text").cast("binary").alias("text"))
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        """v, n, load of the classes wanted (v), from their first documents' texts."""
+        named = stored(wanted.join(classes.select("v", "doc_id", "text_key"), "v"), "wanted")
+        held = texts.join(maybe_broadcast(named), F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
+        return stored(held.select("v", "text").mapInArrow(_sets(width), "v long, n long, load binary"), "sets")
+
+    banded = classes.select("v", "n", "registers").mapInArrow(_banded, "v long, n long, band long")
+    buckets = stored(banded.groupBy("band").agg(F.count("*").alias("size"), F.min("v").alias("hub")).filter("size > 1"), "buckets")
+    members = stored(banded.join(maybe_broadcast(buckets), "band"), "members")
+    pairs = members.filter("v <> hub").groupBy(F.col("hub").alias("a"), F.col("v").alias("b")).agg(F.max("size").alias("size"))
+    pairs = stored(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / SPREAD)).cast("int").alias("blk")), "pairs")
+    left = _stars(pairs, classes.select("v", "n", F.col("registers").alias("load")), _near(threshold))
+    left = stored(left.distinct().join(pairs, ["a", "b"]), "near")
+    sets = fetch(left.select(F.explode(F.array("a", "b")).alias("v")).distinct())
+    links = stored(_stars(left, sets, _similar(threshold)).distinct(), "links")
+    label = stored(components(links), "labels")
+    links = stored(links.union(_strays(members.filter("size > 2").select(F.col("band").alias("g"), "v", "n"), label, fetch, threshold)), "links")
+    if not exact:
+        return stored(components(links), "labels")
+    label = stored(components(links), "labels")
+    rare = stored(_rarest(fetch(classes.select("v")), threshold), "rare")
+    return stored(components(links.union(_strays(rare, label, fetch, threshold))), "labels")
+
+
+def _grouped(docs: DataFrame, width: int, threshold: int, exact: bool, nulls: bool) -> tuple[DataFrame, DataFrame]:
+    """sketched (doc_id, text_key, n_shingles, set_key of each row) and, for each set_key, its class's
+    first document (doc_id, text_key) and the first one of its component (top). Rows without a doc_id
+    take part if nulls."""
+    read = docs.select("doc_id", text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
+    sketched = stored(read.mapInArrow(_sketch(width), "doc_id long, text_key long, n_shingles long, set_key binary, registers binary"), "sketches")
+    whole = sketched.filter("n_shingles > 0" if nulls else "n_shingles > 0 AND doc_id IS NOT NULL")
+    one = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key"))
+    met = whole.groupBy("set_key").agg(one.alias("one"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    classes = stored(met.select(F.monotonically_increasing_id().alias("v"), "set_key", "one.doc_id", "one.text_key", "copies", "n", "registers"), "classes")
+    label = _labels(docs, classes, width, threshold, exact)
+    told = classes.drop("n", "registers").join(label, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    first = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")
+    tops = told.groupBy("comp").agg(F.min(first).alias("top"))
+    # most classes are alone in their component and need no join
+    return sketched.drop("registers"), told.join(tops, "comp").select("set_key", "copies", "doc_id", "text_key", "top")
+
+
+def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
-    read = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    sketched = stored(read.mapInArrow(_sketch(width), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketches")
-    whole = sketched.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    reps = stored(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.min_by("bands", "doc_id").alias("bands")), "classes")
-    label = components(_links(docs, reps, width, threshold))
-    classes = reps.select("set_key", "rep").join(label.withColumnRenamed("v", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
-    out = sketched.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    sketched, classes = _grouped(docs, width, threshold, exact, nulls=False)
+    grouped = classes.filter((F.col("copies") > 1) | (F.col("top.doc_id") != F.col("doc_id"))).select("set_key", F.col("top.doc_id").alias("comp"))
+    out = sketched.join(maybe_broadcast(stored(grouped, "grouped")), "set_key", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs whose doc_id is its group's smallest, with the columns of docs."""
-    gone = stored(link(docs, width, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(maybe_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, exact: bool = False) -> DataFrame:
+    """One row of docs for each group, with the columns of docs: that of the smallest doc_id, null last."""
+    sketched, classes = _grouped(docs, width, threshold, exact, nulls=True)
+    top = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")
+    several = classes.filter((F.col("copies") > 1) | (F.col("top") != top)).select("set_key", "top")
+    rows = stored(sketched.join(maybe_broadcast(stored(several, "grouped")), "set_key").select("doc_id", "text_key", (F.col("top") == top).alias("first")), "rows")
+    keys = rows.groupBy("doc_id", "text_key").agg(F.first("first").alias("first"), F.count("*").alias("n"))
+    keys = stored(keys.filter("n > 1 OR NOT first"), "keys")
+    once = except_keys(docs, keys.select("doc_id", "text_key"))
+    # a row that is to stay but stands there several times
+    again = stored(keys.filter("first").select("doc_id", "text_key"), "again")
+    held = as_row(docs, _doc=F.col("doc_id"), _key=text_key())
+    held = held.join(maybe_broadcast(again), F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")), "left_semi")
+    return once.unionByName(unfolded(held.dropDuplicates(["_doc", "_key"])))
