@@ -10,12 +10,17 @@ intersected with the other terms' lists, restricted to the surviving documents.
 (term, document, position), which no hot term or passage can skew. Text is read once and never
 shuffled. All of it is DataFrame expressions.
 
-The benchmark's vocabulary and windows are broadcast up to BROADCAST_ROWS rows; beyond that
-the same joins shuffle.
+The benchmark's vocabulary and windows are broadcast while their rows and bytes are few; beyond
+that the same joins shuffle, both sides dealt by the key and SALTS parts of it, since a term or a
+window may stand in a third of all documents.
+
+proximity() reads the same postings: places where a window's terms stand close together, in any
+order, as in an item whose words were changed or moved.
 
 Defined results: null or empty text has no words; an item without words or id has no windows;
 items that share an id are one item; each row is judged by its own text alone, also where its
-doc_id is null or repeated; no items: the digest of the empty string. Extra columns are not read.
+doc_id is null or repeated; no items: the digest of the empty string; an empty table gives an empty
+one. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import LOWER, UPPER, alnum_words, maybe_broadcast, stored
+from tabloom.llm.common import LOWER, UPPER, alnum_words, except_keys, maybe_broadcast, stored, text_key
 
 WIDTH = 8
 LEAST_ITEMS = 2
+#: Words that the terms of a near match may lie apart beyond the window's own.
+SLACK = 4
+SALTS = 32
 _NO_ID = -(1 << 63)
 #: What tells documents apart.
 _DOC = ["doc", "key"]
@@ -40,8 +48,14 @@ def _term(word: Column) -> Column:
     return F.xxhash64(low)
 
 
-def _key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+def _met(rows: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """rows (of documents) joined with small, a stored table of the benchmark's, by a key that may be hot in rows."""
+    fit = small.count() == 0 or maybe_broadcast(small) is not small
+    if fit:
+        return rows.join(maybe_broadcast(small), on, how)
+    part = F.pmod(F.xxhash64(*_DOC, *(c for c in ("pos", "start") if c in rows.columns)), F.lit(SALTS))
+    spread = small.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("_part", part).join(spread, [on, "_part"], how).drop("_part")
 
 
 def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -56,16 +70,16 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Stored postings (term, doc, key, pos) of docs for terms. Term 0 at position n: a row of n words."""
     words = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), _GAP), lambda x: x != "")
     # in two steps: in one, Spark hashes the text again for each word
-    keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), _key().alias("key"), F.array_append(words, F.lit("")).alias("words"))
+    keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), text_key().alias("key"), F.array_append(words, F.lit("")).alias("words"))
     rows = keyed.select(*_DOC, F.posexplode("words").alias("pos", "word"))
     rows = rows.select(F.when(F.col("word") == "", F.lit(0).cast("long")).otherwise(_term(F.col("word"))).alias("term"), *_DOC, "pos")
     wanted = stored(terms.union(terms.sparkSession.range(1).select(F.lit(0).cast("long"))).distinct(), "terms")
-    return stored(rows.join(maybe_broadcast(wanted), "term", "left_semi"), "postings")
+    return stored(_met(rows, wanted, "term", "left_semi"), "postings")
 
 
 def _ranked(postings: DataFrame, windows: DataFrame) -> DataFrame:
     """window, k, off, term, rank of each term of each window, rarest first. Stored."""
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = maybe_broadcast(stored(postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies"))
     flat = windows.select("window", "k", "terms").distinct().select("window", "k", F.posexplode("terms").alias("off", "term"))
     flat = flat.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     by = Window.partitionBy("window").orderBy("df", "off")
@@ -75,33 +89,31 @@ def _ranked(postings: DataFrame, windows: DataFrame) -> DataFrame:
 def phrases(postings: DataFrame, windows: DataFrame) -> DataFrame:
     """Exact matches: window, doc, key, start, k, distinct."""
     ranked = _ranked(postings, windows)
-    of = lambda r: maybe_broadcast(stored(ranked.filter(r), "rank"))
-    found = postings.join(of("rank = 1"), "term").select("window", "k", *_DOC, (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
-    second = of("rank = 2").select("window", F.col("term").alias("term2"), F.col("off").alias("off2"))
-    two = found.filter("k >= 2").join(F.broadcast(second) if second.limit(200_001).count() <= 200_000 else second, "window")
+    of = lambda r, *columns: stored(ranked.filter(r).select(*columns), "rank")
+    first = of("rank = 1", "window", "k", "off", "term")
+    found = _met(postings, first, "term").select("window", "k", *_DOC, (F.col("pos") - F.col("off")).alias("start")).filter("start >= 0")
+    two = _met(found.filter("k >= 2"), of("rank = 2", "window", F.col("term").alias("term2"), F.col("off").alias("off2")), "window")
     two = two.select("window", "k", *_DOC, "start", F.col("term2").alias("term"), (F.col("start") + F.col("off2")).alias("pos"))
-    listed = postings.join(maybe_broadcast(stored(ranked.filter("rank = 2").select("term").distinct(), "second")), "term", "left_semi")
+    listed = _met(postings, stored(ranked.filter("rank = 2").select("term").distinct(), "second"), "term", "left_semi")
     met = two.join(listed, ["term", *_DOC, "pos"], "left_semi").select("window", "k", *_DOC, "start")
     alive = stored(found.filter("k = 1").unionByName(met).distinct(), "met")
     there = stored(alive.filter("k > 2").select(*_DOC).distinct(), "alive")
     held = postings.join(maybe_broadcast(there), _DOC, "left_semi")
-    more = alive.filter("k > 2").join(of("rank > 2").drop("k"), "window").select("window", "k", *_DOC, "start", "term", (F.col("start") + F.col("off")).alias("pos"))
+    more = _met(alive.filter("k > 2"), of("rank > 2", "window", "term", "off"), "window").select("window", "k", *_DOC, "start", "term", (F.col("start") + F.col("off")).alias("pos"))
     whole = more.join(held, ["term", *_DOC, "pos"], "left_semi").groupBy("window", "k", *_DOC, "start").agg(F.count("*").alias("n")).filter("n = k - 2")
     return alive.filter("k <= 2").unionByName(whole.drop("n"))
 
 
-def proximity(postings: DataFrame, windows: DataFrame, slack: int = 4) -> DataFrame:
+def proximity(postings: DataFrame, windows: DataFrame, slack: int = SLACK) -> DataFrame:
     """window, doc, key, pos: places of a window's rarest term around which all its terms stand, in any
     order, no farther than k + slack words away."""
     ranked = _ranked(postings, windows)
-    reach = windows.agg(F.max("k")).first()[0] or 1
-    cell = reach + slack
-    rare = maybe_broadcast(stored(ranked.filter("rank = 1").select("window", "k", "term"), "rare"))
-    at = postings.join(rare, "term").select("window", "k", *_DOC, "pos")
-    rest = ranked.filter("rank > 1").select("window", "term").distinct()
-    need = rest.groupBy("window").agg(F.count("*").alias("need"))
-    want = at.join(maybe_broadcast(stored(rest, "rest")), "window")
-    near = want.withColumn("cell", F.explode(F.array(*(F.floor(F.col("pos") / cell) + d for d in (-1, 0, 1)))))
+    cell = (windows.agg(F.max("k")).first()[0] or 1) + slack
+    at = _met(postings, stored(ranked.filter("rank = 1").select("window", "k", "term"), "rare"), "term").select("window", "k", *_DOC, "pos")
+    at = stored(at, "rarest")
+    rest = stored(ranked.filter("rank > 1").select("window", "term").distinct(), "rest")
+    need = maybe_broadcast(stored(rest.groupBy("window").agg(F.count("*").alias("need")), "need"))
+    near = _met(at, rest, "window").withColumn("cell", F.explode(F.array(*(F.floor(F.col("pos") / cell) + d for d in (-1, 0, 1)))))
     there = postings.select("term", *_DOC, F.col("pos").alias("p"), F.floor(F.col("pos") / cell).alias("cell"))
     hits = near.join(there, ["term", *_DOC, "cell"]).filter(F.abs(F.col("p") - F.col("pos")) <= F.col("k") + slack)
     got = hits.groupBy("window", *_DOC, "pos").agg(F.count_distinct("term").alias("n")).join(need, "window").filter("n = need").drop("n", "need")
@@ -109,6 +121,17 @@ def proximity(postings: DataFrame, windows: DataFrame, slack: int = 4) -> DataFr
     return got.unionByName(single).distinct()
 
 
+def near_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, slack: int = SLACK) -> DataFrame:
+    """item_id (string), doc_id, n_places: places of each document where the words of a window of the item
+    stand close together; rows that share an id and a text count once."""
+    windows = stored(item_windows(items, width), "windows")
+    postings = index(docs, windows.select(F.explode("terms").alias("term"))).distinct()
+    places = proximity(postings, windows, slack)
+    named = _met(places, stored(windows.select("window", "item").distinct(), "names"), "window")
+    per = named.select("item", *_DOC, "pos").distinct().groupBy("item", *_DOC).agg(F.count("*").alias("n_places"))
+    return per.select(F.col("item").alias("item_id"), F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), "n_places")
+
+
 def _covered(spans: Column) -> Column:
     """Words in the union of sorted (start, k) spans."""
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
@@ -121,29 +144,33 @@ def _covered(spans: Column) -> Column:
 
 
 def _judged(docs: DataFrame, items: DataFrame, width: int, least_items: int) -> DataFrame:
-    """The columns of report() and key for each row of docs."""
+    """The columns of report(), key and n_whole (items by windows of full width) for each row of docs."""
     windows = stored(item_windows(items, width), "windows")
     postings = index(docs, windows.select(F.explode("terms").alias("term")))
     matches = stored(phrases(postings, windows), "matches")
     hit = matches.groupBy(*_DOC).agg(F.sort_array(F.collect_set(F.struct("start", "k"))).alias("spans")).select(*_DOC, _covered(F.col("spans")).alias("n_hit"))
-    names = maybe_broadcast(stored(windows.select("window", "item").distinct(), "names"))
-    by = matches.select("window", *_DOC).distinct().join(names, "window").groupBy(*_DOC).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    names = stored(windows.select("window", "item", F.col("k") >= width).toDF("window", "item", "whole").distinct(), "names")
+    named = _met(matches.select("window", *_DOC).distinct(), names, "window").groupBy(*_DOC)
+    by = named.agg(F.sort_array(F.collect_set("item")).alias("items"), F.size(F.collect_set(F.when(F.col("whole"), F.col("item")))).cast("long").alias("n_whole"))
     found = hit.join(by, _DOC)
     rows = postings.filter("term = 0").select(*_DOC, F.col("pos").cast("long").alias("n_words")).join(found, _DOC, "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     n_items = F.size(items_).cast("long")
     return rows.select(
         F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), n_items.alias("n_items"),
-        F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (n_items >= least_items).alias("contaminated"), "key",
+        F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (n_items >= least_items).alias("contaminated"), "key", F.coalesce("n_whole", F.lit(0).cast("long")).alias("n_whole"),
     )
 
 
 def report(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_items: int = LEAST_ITEMS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
-    return _judged(docs, items, width, least_items).drop("key")
+    return _judged(docs, items, width, least_items).drop("key", "n_whole")
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_items: int = 1) -> DataFrame:
-    """The rows of docs in which fewer than least_items items have windows, with the columns of docs."""
-    bad = stored(_judged(docs, items, width, least_items).filter("contaminated").select(F.col("doc_id").alias("_bad"), F.col("key").alias("_bad_key")).distinct(), "bad")
-    return docs.join(maybe_broadcast(bad), F.col("doc_id").eqNullSafe(F.col("_bad")) & (_key() == F.col("_bad_key")), "left_anti").select(*docs.columns)
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_items: int = 1, least_short: int | None = None) -> DataFrame:
+    """The rows of docs, with their columns, in which fewer than least_items items have windows. Items
+    shorter than a window are told by few words: with least_short, a document goes if least_items
+    items have windows of full width or least_short items have any."""
+    found = _judged(docs, items, width, least_items)
+    bad = F.col("contaminated") if least_short is None else (F.col("n_whole") >= least_items) | (F.col("n_items") >= least_short)
+    return except_keys(docs, stored(found.filter(bad).select("doc_id", F.col("key").alias("text_key")).distinct(), "bad"))

@@ -1,4 +1,6 @@
-"""The opN_ queries: each applies one operator, with production parameters, to its whole table."""
+"""The opN_ queries: each applies one operator, with production parameters, to its whole table. The
+others show what the same operators answer beside that: ablations of the quality rules, and places
+where benchmark words stand close together."""
 
 from __future__ import annotations
 
@@ -15,7 +17,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))
+    return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "digest")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +52,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = quality_rules.ledger(quality_rules.measure(table(spark, sf_dir, "documents")))
+    return quality_rules.ablate(led, [quality_rules.BASE, quality_rules.STANDARD])
+
+
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.near_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -61,4 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc": op9_warc,
     "op10_quality_classifier": op10_quality_classifier,
+    "quality_ablation": quality_ablation,
+    "benchmark_proximity": benchmark_proximity,
 }

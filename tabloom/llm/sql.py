@@ -113,4 +113,16 @@ SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha256(p.h) AS payload_dig
 FROM p JOIN f ON p.h = f.h
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": OP1, "op3_near_dedup": OP3, "op6_mixing": OP6, "op7_substring_dedup": OP7, "op8_decontaminate": OP8, "op9_warc": OP9}
+def _ablation() -> str:
+    """Counts over the failure bits of OP1, for each policy and each rule left out of it."""
+    from tabloom.llm.quality_rules import BASE, RULES, STANDARD
+
+    bit = {r.name: 1 << r.bit for r in RULES}
+    rows = [(p.version, n, p.mask(), p.mask() & ~bit[n]) for p in (BASE, STANDARD) for n in p.rules]
+    selects = " UNION ALL ".join(f"SELECT '{v}' AS policy, '{n}' AS rule, count(*)::BIGINT AS documents, count_if(bits & {full} = 0)::BIGINT AS kept, count_if(bits & {less} = 0)::BIGINT AS kept_without FROM b" for v, n, full, less in rows)
+    return OP1[: OP1.rindex("SELECT doc_id")] + selects
+
+
+OP2 = "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, md5(coalesce(text, '')) AS digest FROM documents"
+
+SQL: dict[str, str] = {"op2_sharding": OP2, "quality_ablation": _ablation(), "op1_quality_rules": OP1, "op3_near_dedup": OP3, "op6_mixing": OP6, "op7_substring_dedup": OP7, "op8_decontaminate": OP8, "op9_warc": OP9}
