@@ -5,19 +5,26 @@ of small Parquet shards that are never changed. Runs whose sizes fall in the sam
 of FANOUT) are merged, once there are FANOUT of them, into one run of shards of the target
 size. A merge reads its runs and coalesces their scan tasks, one for each new shard: nothing is
 shuffled. A version is committed by renaming its commit file to the version's number, which
-fails if that exists, so readers see a version whole or not at all and of two writers one wins.
-The commit lists the runs; the shards with their rows and bytes stand in a Parquet manifest
-beside it. Superseded runs stay until vacuum().
+fails if that exists, so readers see a version whole or not at all and of two writers one wins:
+an append that loses commits again on top of the winner, a merge gives up. (On a store without an
+atomic rename, one writer at a time has to be seen to otherwise.) The commit lists the runs; the
+shards with their rows and bytes stand in a Parquet manifest beside it. All paths in both are
+relative to the store's folder, which may be moved.
+
+A writer marks its folder as staged before the first file and removes the mark after the commit;
+vacuum() leaves staged folders alone until the mark is stale, which is when their writer must have
+died, and deletes what no kept version names.
 
 Defined results: rows are kept as they are, nulls, repeats and extra columns included; an empty
-arrival is an empty store's schema and no run; a store without versions reads as an error. A
-failed append or merge leaves files that no version names; vacuum() removes them.
+arrival is an empty store's schema and no run; a store without versions, and a version that has
+been vacuumed, read as an error. A failed append or merge leaves files that no version names.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -34,10 +41,18 @@ ARRIVALS = 8
 _PART = "_tabloom_arrival"
 
 
+#: Seconds after which a writer's mark no longer protects its folder.
+STALE = 24 * 3600
+
+
 class CommitConflict(RuntimeError):
     """Another writer has committed the version first."""
 
 
+class VersionError(LookupError):
+    """A version that was never committed or has been vacuumed."""
+
+
 @dataclass(frozen=True)
 class Run:
     path: str
@@ -58,18 +73,25 @@ class ShardStore:
     def _path(self, p: str):
         return self._jvm.org.apache.hadoop.fs.Path(p)
 
+    def _listed(self, folder: str) -> list:
+        at = self._path(f"{self.root}/{folder}")
+        return list(self._fs.listStatus(at)) if self._fs.exists(at) else []
+
     # --- versions -------------------------------------------------------------------------
 
+    def versions(self) -> list[int]:
+        names = (s.getPath().getName() for s in self._listed("_commits"))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != ".")
+
     def version(self) -> int:
         """The latest committed version; 0 if there is none."""
-        at = self._path(f"{self.root}/_commits")
-        if not self._fs.exists(at):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)]
-        return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != "."), default=0)
+        return max(self.versions(), default=0)
 
     def _commit_of(self, version: int) -> dict:
-        stream = self._fs.open(self._path(f"{self.root}/_commits/{version:08d}.json"))
+        at = self._path(f"{self.root}/_commits/{version:08d}.json")
+        if not self._fs.exists(at):
+            raise VersionError(f"{self.root} has no version {version}")
+        stream = self._fs.open(at)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
@@ -82,12 +104,12 @@ class ShardStore:
     def manifest(self, version: int | None = None) -> DataFrame:
         """run, path, rows, bytes of each shard of a version."""
         v = version or self.version()
-        return self.spark.read.parquet(self._commit_of(v)["manifest"])
+        return self.spark.read.parquet(f"{self.root}/{self._commit_of(v)['manifest']}")
 
     def _commit(self, version: int, runs: list[Run], shards: DataFrame | None, schema: StructType) -> None:
-        at = f"{self.root}/_manifests/{version:08d}-{uuid.uuid4().hex}"
+        at = f"_manifests/{version:08d}-{uuid.uuid4().hex}"
         shards = self.spark.createDataFrame([], "run string, path string, rows long, bytes long") if shards is None else shards
-        shards.write.parquet(at)
+        shards.write.parquet(f"{self.root}/{at}")
         text = json.dumps({"version": version, "manifest": at, "schema": schema.jsonValue(), "runs": [asdict(r) for r in runs]})
         draft, final = self._path(f"{self.root}/_commits/.{uuid.uuid4().hex}"), self._path(f"{self.root}/_commits/{version:08d}.json")
         out = self._fs.create(draft, False)
@@ -102,27 +124,39 @@ class ShardStore:
 
     # --- writing --------------------------------------------------------------------------
 
-    def _measured(self, folder: str, runs: list[str]) -> tuple[list[Run], DataFrame]:
-        """Runs under folder and their shards; footers are read, not data."""
-        rows = self.spark.read.parquet(*runs).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
-        shards = rows.groupBy("path", "bytes").agg(F.count("*").alias("rows"))
+    def _staged(self, folder: str) -> object:
+        """Marks folder as being written; the mark's path."""
+        mark = self._path(f"{self.root}/_staged/{folder}")
+        self._fs.create(mark, False).close()
+        return mark
+
+    def _measured(self, runs: list[str]) -> tuple[list[Run], DataFrame]:
+        """Runs (relative paths) and their shards; footers are read, not data."""
+        rows = self.spark.read.parquet(*(f"{self.root}/{r}" for r in runs)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+        shards = rows.groupBy("path", "bytes").agg(F.count("*").alias("rows")).withColumn("path", F.regexp_extract("path", r"data/[^/]+/[^/]+/[^/]+$", 0))
         shards = shards.select(F.regexp_replace("path", "/[^/]*$", "").alias("run"), "path", "rows", "bytes")
         each = shards.groupBy("run").agg(F.sum("rows").alias("r"), F.sum("bytes").alias("b"), F.count("*").alias("n"))
         return [Run(x.run, x.r, x.b, x.n) for x in each.orderBy("run").collect()], shards
 
     def append(self, rows: DataFrame, arrival: Column | None = None, small_rows: int = SMALL_ROWS) -> int:
         """Each value of arrival (one arrival if None) becomes a run; all are committed as one version."""
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        folder = uuid.uuid4().hex
+        mark = self._staged(folder)
         named = rows.withColumn(_PART, F.lit(0) if arrival is None else arrival)
-        named.write.option("maxRecordsPerFile", small_rows).partitionBy(_PART).parquet(folder)
-        at = [s.getPath().toString() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory()]
-        version, old = self.version(), self.runs()
-        new, shards = self._measured(folder, at) if at else ([], None)
-        if version:
-            before = self.manifest(version)
-            shards = before if shards is None else before.unionByName(shards)
-        self._commit(version + 1, [*old, *new], shards, rows.schema)
-        return version + 1
+        named.write.option("maxRecordsPerFile", small_rows).partitionBy(_PART).parquet(f"{self.root}/data/{folder}")
+        names = [s.getPath().getName() for s in self._listed(f"data/{folder}") if s.isDirectory()]
+        new, shards = self._measured([f"data/{folder}/{n}" for n in names]) if names else ([], None)
+        while True:
+            version, old = self.version(), self.runs()
+            every = shards
+            if version:
+                every = self.manifest(version) if shards is None else self.manifest(version).unionByName(shards)
+            try:
+                self._commit(version + 1, [*old, *new], every, rows.schema)
+            except CommitConflict:
+                continue  # appends commute
+            self._fs.delete(mark, False)
+            return version + 1
 
     def compact(self) -> int:
         """Merges while a tier holds enough runs; a run of target-sized shards alone in its tier rests."""
@@ -135,23 +169,36 @@ class ShardStore:
             due = next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= self.fanout), None)
             if due is None:
                 return version
-            folder = f"{self.root}/data/{uuid.uuid4().hex}"
+            folder = uuid.uuid4().hex
+            mark = self._staged(folder)
             files = max(1, round(sum(r.bytes for r in due) / self.target))
             schema = StructType.fromJson(commit["schema"])
-            self.spark.read.schema(schema).parquet(*(r.path for r in due)).coalesce(files).write.parquet(f"{folder}/merged")
-            new, shards = self._measured(folder, [f"{folder}/merged"])
-            gone = [r.path for r in due]
-            kept = self.manifest(version).filter(~F.col("run").isin(gone))
+            merged = self.spark.read.schema(schema).parquet(*(f"{self.root}/{r.path}" for r in due)).coalesce(files)
+            merged.write.parquet(f"{self.root}/data/{folder}/merged")
+            new, shards = self._measured([f"data/{folder}/merged"])
+            kept = self.manifest(version).filter(~F.col("run").isin([r.path for r in due]))
             self._commit(version + 1, [r for r in self.runs(version) if r not in due] + new, kept.unionByName(shards), schema)
-
-    def vacuum(self) -> int:
-        """Deletes data that the latest version doesn't name; returns how many folders went."""
-        live, n = {r.path.split("/data/")[1] for r in self.runs()}, 0
-        data = self._path(f"{self.root}/data")
-        for batch in self._fs.listStatus(data) if self._fs.exists(data) else []:
-            for run in self._fs.listStatus(batch.getPath()):
-                name = run.getPath().toString().split("/data/")[1]
-                if run.isDirectory() and name not in live:
+            self._fs.delete(mark, False)
+
+    def vacuum(self, keep: int = 1, stale: float = STALE) -> int:
+        """Drops all versions but the latest keep and the runs that only these named; returns how many
+        runs went. Folders that a writer has staged stay until their mark is stale seconds old."""
+        # in this order: a writer marks its folder before the first file and removes the mark after the commit
+        written = [b.getPath().getName() for b in self._listed("data")]
+        now, held = time.time(), set()
+        for s in self._listed("_staged"):
+            old = now - s.getModificationTime() / 1000 >= stale
+            self._fs.delete(s.getPath(), False) if old else held.add(s.getPath().getName())
+        versions = self.versions()
+        live = {r.path for v in versions[-keep:] for r in self.runs(v)}
+        for v in versions[:-keep]:
+            manifest = self._commit_of(v)["manifest"]
+            self._fs.delete(self._path(f"{self.root}/_commits/{v:08d}.json"), False)
+            self._fs.delete(self._path(f"{self.root}/{manifest}"), True)
+        n = 0
+        for folder in written:
+            for run in self._listed(f"data/{folder}") if folder not in held else []:
+                if run.isDirectory() and f"data/{folder}/{run.getPath().getName()}" not in live:
                     self._fs.delete(run.getPath(), True)
                     n += 1
         return n
@@ -163,7 +210,7 @@ class ShardStore:
         v = version or self.version()
         schema = StructType.fromJson(self._commit_of(v)["schema"])
         runs = self.runs(v)
-        return self.spark.read.schema(schema).parquet(*(r.path for r in runs)) if runs else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{r.path}" for r in runs)) if runs else self.spark.createDataFrame([], schema)
 
 
 def arrival_of(doc_id: Column, arrivals: int = ARRIVALS) -> Column:
@@ -172,9 +219,10 @@ def arrival_of(doc_id: Column, arrivals: int = ARRIVALS) -> Column:
 
 def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Appends docs as ARRIVALS arrivals, compacts, and reads the committed version back: doc_id,
-    n_bytes and digest (MD5) of the text, shard (number in its run) and shard_bytes."""
+    n_bytes and digest (MD5) of the text, shard (number in its run) and shard_bytes. An arrival is
+    what a group of scan tasks holds, so each task writes to one run alone."""
     store = ShardStore(docs.sparkSession, scratch(docs.sparkSession, "shards"), target_bytes)
-    store.append(docs, arrival_of(F.col("doc_id")))
+    store.append(docs, F.pmod(F.spark_partition_id(), F.lit(ARRIVALS)))
     store.compact()
     store.vacuum()
     rows = store.read()

@@ -42,6 +42,37 @@ def test_second_writer_loses(spark, store):
     assert store.version() == 1 and store.read().count() == 5
 
 
+def test_vacuum_spares_what_is_being_written(spark, tmp_path, monkeypatch):
+    """A vacuum between another writer's write and its commit; a store under a folder named data; versions kept."""
+    root = f"{tmp_path}/data/store"
+    ours, theirs = sharding.ShardStore(spark, root), sharding.ShardStore(spark, root)
+    for start in (0, 100):
+        ours.append(_docs(spark, 50, start), sharding.arrival_of(F.col("doc_id"), 2))
+    commit, gone = theirs._commit, []
+
+    def late(*a):
+        if not gone:
+            gone.append(ours.vacuum(keep=2))
+            ours.append(_docs(spark, 5, 500))  # and another writer is first
+        commit(*a)
+
+    monkeypatch.setattr(theirs, "_commit", late)
+    assert theirs.append(_docs(spark, 20, 300)) == 4 and gone == [0]
+    assert ours.read().count() == 125 and ours.read(2).count() == 100
+    ours.compact()
+    assert ours.read().count() == 125
+    assert ours.vacuum() > 0 and ours.read().count() == 125
+    with pytest.raises(sharding.VersionError):
+        ours.read(1)
+    # a writer that died: its files go once its mark is stale
+    monkeypatch.setattr(theirs, "_commit", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        theirs.append(_docs(spark, 5, 900))
+    assert ours.vacuum() == 0 and ours.vacuum(stale=0) == 1
+    (tmp_path / "data" / "store").rename(tmp_path / "moved")
+    assert sharding.ShardStore(spark, f"{tmp_path}/moved").read().count() == 125
+
+
 def test_empty_arrival(spark, store):
     docs = _docs(spark, 0)
     store.append(docs)
