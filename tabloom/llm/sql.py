@@ -123,6 +123,32 @@ def _ablation() -> str:
     return OP1[: OP1.rindex("SELECT doc_id")] + selects
 
 
+def _licenses() -> str:
+    """OP4 for texts without identifier tags, whose expressions SQL can't parse: base places word by
+    word, labels by phrases in the joined words, the score in order of the labels."""
+    from tabloom.llm.licenses import _BASE_WEIGHT, BASE, PHRASES
+
+    rows = [(p, label, _BASE_WEIGHT, "true") for p, label in BASE.items()] + [(p, *x, "false") for p, x in PHRASES.items()]
+    values = ", ".join(f"('{p}', '{label}', {weight!r}::DOUBLE, {base})" for p, label, weight, base in rows)
+    return f"""
+    WITH d AS (
+      SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+    ), l AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d),
+    m AS (
+      SELECT r, q - 1 AS at_word, k, label, weight, base
+      FROM (SELECT r, w, label, weight, base, phrase, len(string_split(phrase, ' ')) AS k, unnest(range(1, len(w) + 1)) AS q FROM l JOIN (VALUES {values}) AS p(phrase, label, weight, base) ON contains(line, ' ' || phrase || ' '))
+      WHERE array_to_string(w[q:q + k - 1], ' ') = phrase
+    ), f AS (
+      SELECT r, label, max(weight) AS weight FROM m
+      WHERE base OR NOT EXISTS (SELECT 1 FROM m AS x WHERE x.r = m.r AND NOT x.base AND x.k > m.k AND x.at_word <= m.at_word AND x.at_word + x.k >= m.at_word + m.k)
+      GROUP BY r, label
+    ), s AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels, 1 - list_reduce(list(1 - weight ORDER BY label), lambda a, b: a * b) AS score FROM f GROUP BY r),
+    c AS (SELECT r, count(*) AS n, min(at_word) AS low, max(at_word) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM m WHERE base GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, low::BIGINT AS first_word, high::BIGINT AS last_word, coalesce(c.labels, '') AS base_labels,
+           coalesce(s.labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score, '' AS expressions, NULL::BOOLEAN AS permitted
+    FROM d LEFT JOIN s ON s.r = d.r LEFT JOIN c ON c.r = d.r"""
+
+
 OP2 = "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, md5(coalesce(text, '')) AS digest FROM documents"
 
-SQL: dict[str, str] = {"op2_sharding": OP2, "quality_ablation": _ablation(), "op1_quality_rules": OP1, "op3_near_dedup": OP3, "op6_mixing": OP6, "op7_substring_dedup": OP7, "op8_decontaminate": OP8, "op9_warc": OP9}
+SQL: dict[str, str] = {"op2_sharding": OP2, "op4_licenses": _licenses(), "quality_ablation": _ablation(), "op1_quality_rules": OP1, "op3_near_dedup": OP3, "op6_mixing": OP6, "op7_substring_dedup": OP7, "op8_decontaminate": OP8, "op9_warc": OP9}

@@ -159,7 +159,8 @@ def test_licenses(docs, rows, empty):
     out = licenses.licenses(docs).collect()
     _match([(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in out], [(d, *brute(t)) for d, t in rows])
     by = {r.doc_id: r for r in out}
-    assert by[11].labels == "apache-2.0,gpl-2.0-only,mit" and by[12].labels == "mit,unparsed" or by[12].labels == "unparsed"
+    assert by[11].labels == "apache-2.0,gpl-2.0-only,mit" and by[11].expressions == "mit apache-2.0 gpl-2.0-only classpath-exception-2.0 with and or" and by[11].permitted
+    assert by[12].labels == "mit" and by[12].expressions == "mit"
     assert all(0 <= r.score <= 1 for r in out) and by[0].score == 0
     assert licenses.licenses(empty).count() == 0
 
@@ -174,6 +175,22 @@ def test_license_expressions():
             licenses.postfix(bad)
 
 
+@pytest.mark.parametrize("text,labels,permitted", [
+    ("MIT and more words here", "mit", True), ("GPL-2.0 WITH Classpath-exception-2.0 #", "gpl-2.0", False), ("MIT.", "mit", True), ("(MIT OR GPL-3.0-only) AND", "gpl-3.0-only,mit", True),
+    ("MIT AND GPL-3.0-or-later -->", "gpl-3.0-or-later,mit", False), ("see the file", "unparsed", None), ("", "unparsed", None), ("LicenseRef-own OR (isc", "licenseref-own", False), (") MIT", "unparsed", None),
+])
+def test_what_a_tag_is_followed_by(text, labels, permitted):
+    found = licenses.scan(f"x\n// SPDX-License-Identifier: {text}\nAND more".encode())
+    assert (found[5], found[8]) == (labels, permitted)
+
+
+def test_versions_of_licences():
+    say = lambda t: licenses.scan(t.encode())[5]
+    assert say("under the Apache License, Version 2.0;") == "apache-2.0"
+    assert say("GNU Lesser General Public License v2.1 or later") == "gpl,lgpl-2.1"
+    assert len(licenses.PHRASES) > 100
+
+
 def test_substring_dedup(docs, rows, empty):
     words = [(d, (t or "").encode().split()) for d, t in rows]
     seen = Counter(tuple(w[i : i + 35]) for _, w in words for i in range(len(w) - 34))
