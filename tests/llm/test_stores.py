@@ -1,5 +1,7 @@
 """Shards, WARC archives and the pipeline."""
 
+import base64
+import gzip
 import hashlib
 
 import pytest
@@ -115,6 +117,53 @@ def test_warc_payloads_and_small_segments(spark):
     assert got == {r.page_id: r.html.encode() for r in pages.collect()}
 
 
+def _sha1(data):
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def test_warc_of_another_writer(spark, tmp_path):
+    """Compressed members, other record types, sha1 digests in base 32, ids of any kind, folded headers."""
+    page, other = b"<html>" + b"real page " * 40 + b"</html>", b"{}"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+
+    def record(kind, name, block, *more):
+        head = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: " + name, b"Content-Length: %d" % len(block), *more]
+        return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    first, second = b"<urn:uuid:0b0a>", b"<http://archive/2>"
+    framed = http.replace(b"\r\n\r\n", b"\r\nTransfer-Encoding: chunked\r\n\r\n") + warc.chunked(page, 100)
+    parts = [record(b"response", b"<urn:s>", framed[:200], b"WARC-Segment-Number: 1", b"WARC-Payload-Digest: md5:" + hashlib.md5(page).hexdigest().encode())]
+    parts += [record(b"continuation", b"<urn:s2>", framed[200:], b"WARC-Segment-Number: 2", b"WARC-Segment-Origin-ID: <urn:s>", b"WARC-Segment-Total-Length: %d" % len(framed))]
+    gz = [
+        record(b"warcinfo", b"<urn:i>", b"software: other\r\n"), record(b"request", b"<urn:r>", b"GET / HTTP/1.1\r\n\r\n"),
+        record(b"response", first, http + page, b"WARC-Payload-Digest: " + _sha1(page).encode(), b"X-Folded: a", b"\tb"), record(b"metadata", b"<urn:m>", b"x: y"), *parts,
+    ]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in gz))
+    revisit = [b"WARC-Refers-To: " + first, b"WARC-Payload-Digest: " + _sha1(page).encode()]
+    lost = b"sha256:" + hashlib.sha256(b"elsewhere").hexdigest().encode()
+    plain = [record(b"revisit", second, http, *revisit), record(b"resource", b"<urn:o>", other), record(b"revisit", b"<urn:x>", http, b"WARC-Refers-To: <urn:gone>", b"WARC-Payload-Digest: " + lost)]
+    (tmp_path / "a" / "two.warc").write_bytes(b"".join(plain))
+    got = sorted((r.payload_bytes or 0, r.payload_digest, r.record_type, r.page_id, r.refers_to) for r in warc.read(spark, str(tmp_path / "a")).collect())
+    whole = (len(page), hashlib.sha256(page).hexdigest())
+    want = [(0, lost[7:].decode(), "revisit", None, None), (2, hashlib.sha256(other).hexdigest(), "response", None, None), (*whole, "response", None, None), (*whole, "response", None, None), (*whole, "revisit", None, None)]
+    assert got == sorted(want, key=repr) or got == sorted(want)
+    wrong = record(b"response", b"<urn:w>", http + page, b"WARC-Payload-Digest: " + _sha1(b"not it").encode())
+    with pytest.raises(ValueError, match="urn:w"):
+        [warc.decode(*r) for r in warc.parse(wrong)]
+
+
+def test_revisit_has_to_agree_with_its_response(spark, tmp_path):
+    warc.write(spark.createDataFrame([(1, "u", "x" * 200), (2, "u", "x" * 200)], "page_id long, url string, html string").coalesce(1), f"{tmp_path}/a")
+    (file,) = (tmp_path / "a").glob("*/part-*")
+    digest = hashlib.sha256(b"x" * 200).hexdigest().encode()
+    before, _, revisit = file.read_bytes().partition(b"WARC-Type: revisit")
+    file.write_bytes(before + b"WARC-Type: revisit" + revisit.replace(digest, b"0" * 64))
+    (file.parent / f".{file.name}.crc").unlink()
+    with pytest.raises(Exception, match="another digest"):
+        warc.read(spark, f"{tmp_path}/a").collect()
+
+
 def test_warc_damage():
     good = [(1, None, b"ab"), (2, 3, b"c")]
     assert warc.join(good[::-1], "o") == b"abc"
