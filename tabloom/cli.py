@@ -69,7 +69,7 @@ def _scan(a: argparse.Namespace) -> int:
     from tabloom.operators.scan import render, scan, to_dict
     from tabloom.sources.files import load as load_tables
 
-    report = scan(load_tables(_session(), a.data))
+    report = scan(load_tables(_session(), a.data, a.rows))
     print(json.dumps(to_dict(report), indent=2, default=str) if a.json else render(report), end="")
     return 0
 
@@ -120,19 +120,31 @@ def parser() -> argparse.ArgumentParser:
     add("generate", _generate, "tables and documents from a plan", plan, out, arg("--seed", type=int), arg("--partitions", type=int))
     add("validate", _validate, "whether tables keep their plan's promises", plan, out)
     add("fit", _fit, "parameters from real tables", plan, data, out, arg("--epsilon", type=float), arg("--dp-seed", type=int, default=0))
-    add("scan", _scan, "report on real tables", data, arg("--json", action="store_true"))
+    add("scan", _scan, "report on real tables", data, arg("--json", action="store_true"), arg("--rows", type=int, help="rows of each table to look at; all if left out"))
     add("init", _init, "a plan's structure from real tables, or by questions", arg("--data"), out, arg("--seed", type=int, default=42), arg("--source", action="append", metavar="NAME=PATTERN"), arg("--yes", action="store_true"))
     add("explain", _explain, "a plan in words", plan, arg("--out"))
     add("ingest", _ingest, "XML files to Parquet", data, out, arg("--strings", action="store_true", help="leave values untyped"))
     return top
 
 
+def _text(e: Exception) -> str:
+    """An error's first line; a KeyError shows its key's name alone otherwise."""
+    text = f"nothing is known of {e.args[0]!r}" if isinstance(e, KeyError) and e.args else str(e)
+    return text if isinstance(e, MetadataError) else (text.splitlines() or [type(e).__name__])[0]
+
+
 def main(argv: list[str] | None = None) -> int:
+    from pyspark.errors import AnalysisException
+    from yaml import YAMLError
+
+    from tabloom.sources.files import SourceError
+    from tabloom.sources.schemas import DocumentError
+
     a = parser().parse_args(argv)
     try:
         return a.run(a)
-    except (MetadataError, OSError, ValueError) as e:
-        print(f"error: {e}", file=sys.stderr)
+    except (MetadataError, SourceError, DocumentError, AnalysisException, YAMLError, SyntaxError, OSError, ValueError, LookupError) as e:
+        print(f"error: {_text(e)}", file=sys.stderr)
         return 2
 
 

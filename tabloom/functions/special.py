@@ -106,11 +106,46 @@ def beta_ppf(u: np.ndarray, a: float, b: float) -> np.ndarray:
     return _bisect(lambda x: beta_cdf(a, b, x), np.asarray(u, float), 0.0, 1.0)
 
 
+#: Ranks whose weights are summed one by one; beyond them sums are analytic.
+HEAD = 1_000_000
+
+
 def zipf_cdf(a: float, n: int) -> np.ndarray:
     c = np.cumsum(np.arange(1, n + 1, dtype=float) ** -a)
     return c / c[-1]
 
 
+def _beyond(a: float, k: np.ndarray, head: int) -> np.ndarray:
+    """Sum of j ** -a for head < j <= k, by Euler and Maclaurin: exact to double precision for a large head."""
+    k = np.asarray(k, float)
+    whole = np.log(k / head) if abs(1 - a) < 1e-12 else (k ** (1 - a) - float(head) ** (1 - a)) / (1 - a)
+    return whole + (k**-a - float(head) ** -a) / 2 - a / 12 * (k ** (-a - 1) - float(head) ** (-a - 1))
+
+
+def harmonic(a: float, n: int, head: int = HEAD) -> float:
+    """Sum of j ** -a for 1 <= j <= n, with memory for head numbers at most."""
+    first = float((np.arange(1, min(n, head) + 1, dtype=float) ** -a).sum())
+    return first if n <= head else first + float(_beyond(a, np.array([n]), head)[0])
+
+
+def zipf_rank(u: np.ndarray, a: float, n: int, sums: np.ndarray) -> np.ndarray:
+    """0-based ranks of uniforms; sums: cumulative weights of the first min(n, HEAD) ranks. Ranks within
+    them are those of the whole table; further ones are found by halving the analytic sum."""
+    head = len(sums)
+    if n <= head:
+        return np.clip(np.searchsorted(sums / sums[-1], u, side="left"), 0, n - 1).astype(np.int64)
+    want = u * (sums[-1] + float(_beyond(a, np.array([n]), head)[0]))
+    out = np.searchsorted(sums, want, side="left").astype(np.int64)
+    far = out >= head
+    low, high = np.full(far.sum(), head, np.int64), np.full(far.sum(), n, np.int64)
+    while (low + 1 < high).any():
+        mid = (low + high) // 2
+        short = sums[-1] + _beyond(a, mid, head) < want[far]
+        low, high = np.where(short, mid, low), np.where(short, high, mid)
+    out[far] = high - 1
+    return np.clip(out, 0, n - 1)
+
+
 def _udf(fn, kind: str):
     return F.pandas_udf(lambda s: pd.Series(fn(s.to_numpy())), kind)
 
@@ -128,11 +163,12 @@ def beta_column(u: Column, a: float, b: float) -> Column:
 
 
 def zipf_column(u: Column, a: float, n: int) -> Column:
-    """0-based rank; the table of n numbers is made once in each worker."""
+    """0-based rank; the table of the first HEAD weights is made once in each worker."""
     made: dict[str, np.ndarray] = {}
 
     def rank(v: np.ndarray) -> np.ndarray:
-        cdf = made.setdefault("cdf", zipf_cdf(a, n)) if "cdf" not in made else made["cdf"]
-        return np.clip(np.searchsorted(cdf, v, side="left"), 0, n - 1).astype(np.int64)
+        if not made:
+            made["sums"] = np.cumsum(np.arange(1, min(n, HEAD) + 1, dtype=float) ** -a)
+        return zipf_rank(v, a, n, made["sums"])
 
     return _udf(rank, "long")(u)

@@ -14,15 +14,19 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.stats import Facts, children_per_parent, facts, iso_seconds, median, micros, pow2_above, q, spearman, value_counts
+from tabloom.functions.special import harmonic
+from tabloom.operators.stats import Facts, children_per_parent, facts, iso_seconds, median, micros, pow2_above, q, spearmans, value_counts
 from tabloom.plans.spec import Column, Copula, Delay, Law, Plan, Table
 
 TINY = 1e-9
+#: Values that a categorical law may list.
+MOST_CATEGORIES = 100_000
 GRID = np.round(np.arange(0.0, 3.5001, 0.05), 2)
 
 
@@ -56,8 +60,11 @@ def number(f: Facts) -> Law:
 
 
 def categories(df: DataFrame, column: str) -> tuple[Law, list[int]]:
-    """All values in order with their shares, and their counts."""
-    rows = sorted(((r["value"], r["n"]) for r in value_counts(df, column).collect()), key=lambda r: r[0])
+    """All values in order with their shares, and their counts. A plan lists them, so there may be MOST_CATEGORIES."""
+    found = value_counts(df, column).limit(MOST_CATEGORIES + 1).collect()
+    if len(found) > MOST_CATEGORIES:
+        raise ValueError(f"column {column!r} has more than {MOST_CATEGORIES} different values, too many for a list of categories")
+    rows = sorted(((r["value"], r["n"]) for r in found), key=lambda r: r[0])
     total = sum(n for _, n in rows)
     return Law("categorical", {"categories": [v for v, _ in rows], "probs": [n / total for _, n in rows]}), [n for _, n in rows]
 
@@ -78,8 +85,7 @@ def zipf_exponent(df: DataFrame, column: str, n: int) -> float:
         rank += values
     if not total or n <= 0:
         return float(GRID[0])
-    logs = np.log(np.arange(1, n + 1, dtype=float))
-    like = [-a * weighted - total * math.log(np.exp(-a * logs).sum()) for a in GRID]
+    like = [-a * weighted - total * math.log(harmonic(float(a), n)) for a in GRID]
     return float(GRID[int(np.argmax(like))])
 
 
@@ -140,14 +146,14 @@ class _Fit:
     @staticmethod
     def _span(t: Table, c: Column, law: Law) -> float:
         """How far a value can lie from another, by the column's clamp."""
-        where = f"numeric column '{t.name}.{c.name}'"
+        where = f"{t.name}.{c.name}"
         if c.clamp is None:
-            raise ValueError(f"fit: differential privacy requires 'clamp' on {where}")
+            raise ValueError(f"{where} needs a clamp before noise can be added: it bounds what one row can change")
         low, high = c.clamp
         if law.kind != "lognormal":
             return high - low
         if low <= 0:
-            raise ValueError(f"fit: differential privacy for lognormal {where} requires clamp lo > 0 (got {low!r})")
+            raise ValueError(f"{where} is lognormal, so its clamp has to start above 0, not at {low!r}, before noise can be added")
         return math.log(high) - math.log(low)
 
     def _noise_number(self, t: Table, c: Column, law: Law, n: int, epsilon: float, rng: np.random.Generator) -> None:
@@ -170,17 +176,16 @@ class _Fit:
         return law, stride
 
     def _copula(self, g: Copula, df: DataFrame) -> list[list[float]]:
-        k = len(g.columns)
+        k, ranks = len(g.columns), spearmans(df, list(g.columns))
         m = np.eye(k).tolist()
 
         def put(i: int, j: int, r: float) -> None:
             m[i][j] = m[j][i] = r
 
-        for i in range(k):
-            for j in range(i + 1, k):
-                rho, n = spearman(df, g.columns[i], g.columns[j])
-                put(i, j, min(max(2 * math.sin(math.pi * rho / 6), -1.0), 1.0))
-                self.releases.append(Release(1, lambda e, rng, i=i, j=j, n=n: put(i, j, min(max(_laplace(m[i][j], 6 / max(n, 1), e, rng), -0.99), 0.99))))
+        for i, j in combinations(range(k), 2):
+            rho, n = ranks[g.columns[i], g.columns[j]]
+            put(i, j, min(max(2 * math.sin(math.pi * rho / 6), -1.0), 1.0))
+            self.releases.append(Release(1, lambda e, rng, i=i, j=j, n=n: put(i, j, min(max(_laplace(m[i][j], 6 / max(n, 1), e, rng), -0.99), 0.99))))
         return m
 
     def table(self, t: Table) -> Callable[[], Table]:
@@ -213,7 +218,7 @@ def fit(frames: dict[str, DataFrame], skeleton: Plan, epsilon: float | None = No
     column that noise needs a clamp for.
     """
     if epsilon is not None and epsilon <= 0:
-        raise ValueError(f"epsilon must be > 0 if set (got {epsilon!r})")
+        raise ValueError(f"epsilon has to be above 0, not {epsilon!r}")
     work = _Fit(skeleton, frames)
     built = {n: work.table(skeleton.tables[n]) for n in skeleton.order()}
     if epsilon is not None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators.fit import date_range
 from tabloom.operators.scan import COVERAGE
-from tabloom.operators.stats import Facts, containments, facts, median, micros, pow2_above, q, spearman, top_values, value_counts
+from tabloom.operators.stats import Facts, containments, facts, medians, micros, pow2_above, q, spearmans, top_values, value_counts
 from tabloom.plans.spec import Column, Copula, Delay, Law, Plan, Table, dump, parse
 
 STRING_MOST, STRING_TOP, INT_MOST, RHO = 200, 20, 20, 0.3
@@ -161,7 +161,7 @@ class Inference:
     def _events(self, t: str, columns: list[str], link: Link | None) -> dict[str, Column]:
         """Event columns, earliest median first; each follows the closest earlier one that it hardly ever precedes."""
         df = self.frames[t]
-        middles = {c: median(df.select(micros(q(c)).alias("m")), "m") for c in columns}
+        middles = medians(df, {c: micros(q(c)) for c in columns})
         order = sorted(columns, key=lambda c: math.inf if middles[c] is None else middles[c])
         known: dict[str, str] = {}
         flat = df.select(*(micros(q(c)).alias(f"__e_{c}") for c in order), *([q(link.column).alias("__fk")] if link else []))
@@ -178,10 +178,11 @@ class Inference:
             known[c] = f"__e_{c}"
         gaps = {(a, c): (q(f"__e_{c}") - q(n)) / F.lit(1e6) for a, n, c in pairs}
         names = {k: i for i, k in enumerate(gaps)}
-        row = flat.agg(*(e.alias(x) for k, g in gaps.items() for e, x in ((F.avg((g >= 0).cast("double")), f"s{names[k]}"), (F.median(g), f"m{names[k]}")))).first() if gaps else None
+        share = flat.agg(*(F.avg((g >= 0).cast("double")).alias(f"s{names[k]}") for k, g in gaps.items())).first() if gaps else None
+        middle = medians(flat, {f"m{i}": g for i, g in zip(names.values(), gaps.values(), strict=True) if (share[f"s{i}"] or 0) >= FOLLOWS})
         out = {}
         for c in order:
-            fits = [(row[f"m{i}"], i, a) for (a, d), i in names.items() if d == c and row[f"s{i}"] is not None and row[f"s{i}"] >= FOLLOWS and row[f"m{i}"] > 0]
+            fits = [(middle[f"m{i}"], i, a) for (a, d), i in names.items() if d == c and (middle.get(f"m{i}") or 0) > 0]
             if fits:
                 out[c] = Column(c, "timestamp", temporal=Delay(min(fits)[2], Law("lognormal", {"mu": 10.0, "sigma": 1.0})), null_rate=self._nulls(t, c))
             else:
@@ -190,11 +191,11 @@ class Inference:
 
     def _groups(self, t: str, columns: list[str]) -> tuple[Copula, ...]:
         """Columns joined by rank correlations of RHO or more."""
-        group = {c: {c} for c in sorted(columns)}
+        group, rho = {c: {c} for c in sorted(columns)}, spearmans(self.frames[t], columns)
         names = list(group)
         for i, a in enumerate(names):
             for b in names[i + 1 :]:
-                if group[a] is not group[b] and abs(spearman(self.frames[t], a, b)[0]) >= RHO:
+                if group[a] is not group[b] and abs(rho[a, b][0]) >= RHO:
                     group[a] |= group[b]
                     for c in group[b]:
                         group[c] = group[a]

@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from functools import reduce
+from itertools import combinations
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -168,12 +169,52 @@ def with_rank(df: DataFrame, column: str, name: str, parts: int = 256) -> DataFr
     return df.join(ranked, q(column) == F.col("value"), "left").drop("value")
 
 
+def _corr(a: str, b: str) -> Column:
+    """Correlation; null where a side has one value only, for which the built-in divides by zero."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def _rho(rho: float | None, n: int) -> float:
+    return rho if n >= 2 and rho is not None and math.isfinite(rho) else 0.0
+
+
 def spearman(df: DataFrame, a: str, b: str) -> tuple[float, int]:
     """Rank correlation over rows where both are given (0 if undefined), and their number."""
     both = df.select(q(a).cast("double").alias("a"), q(b).cast("double").alias("b")).na.drop()
     ranked = with_rank(with_rank(both, "a", "ra"), "b", "rb")
-    rho, n = ranked.agg(F.corr("ra", "rb"), F.count("*")).first()
-    return (rho if n >= 2 and rho is not None and math.isfinite(rho) else 0.0), n
+    rho, n = ranked.agg(_corr("ra", "rb"), F.count("*")).first()
+    return _rho(rho, n), n
+
+
+def spearmans(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], tuple[float, int]]:
+    """spearman() of all pairs, both ways round. Columns without nulls are ranked once for all their
+    partners and correlated in one aggregate; ranks of others differ from partner to partner."""
+    nulls = df.agg(*(F.count_if(q(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns))).first() if columns else []
+    full = [c for c, n in zip(columns, nulls, strict=True) if not n]
+    out: dict[tuple[str, str], tuple[float, int]] = {}
+    if len(full) > 1:
+        ranked = df.select(*(q(c).cast("double").alias(f"x{i}") for i, c in enumerate(full)))
+        for i in range(len(full)):
+            ranked = with_rank(ranked, f"x{i}", f"r{i}").drop(f"x{i}")
+        pairs = list(combinations(range(len(full)), 2))
+        row = ranked.agg(F.count("*"), *(_corr(f"r{i}", f"r{j}") for i, j in pairs)).first()
+        out = {(full[i], full[j]): (_rho(row[k], row[0]), row[0]) for k, (i, j) in enumerate(pairs, 1)}
+    for a, b in combinations(columns, 2):
+        if (a, b) not in out:
+            out[a, b] = spearman(df, a, b)
+        out[b, a] = out[a, b]
+    return out
+
+
+def medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float | None]:
+    """Exact medians. The built-in keeps a column's values in one task, so it is used, for all columns in
+    one pass, while rows times columns are few; beyond, each column's middle is bracketed and sorted."""
+    if not columns:
+        return {}
+    if df.count() * len(columns) <= MEDIAN_ROWS:
+        row = df.agg(*(F.median(e).alias(f"m{i}") for i, e in enumerate(columns.values()))).first()
+        return {k: row[f"m{i}"] for i, k in enumerate(columns)}
+    return {k: median(df.select(e.alias("m")), "m") for k, e in columns.items()}
 
 
 def _inside(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:

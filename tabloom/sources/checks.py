@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabloom.plans.spec import Plan, Table
 from tabloom.sources import xml
 from tabloom.sources.documents import document_path
+from tabloom.sources.files import json_records
 
 
 def _records(t: Table, df: DataFrame, path: str) -> tuple[int, dict[str, int]]:
@@ -15,7 +16,7 @@ def _records(t: Table, df: DataFrame, path: str) -> tuple[int, dict[str, int]]:
     spark = df.sparkSession
     if t.format.kind == "xml":
         return xml.count(spark, path), {}
-    doc = spark.read.json(path, multiLine=t.format.kind == "json")
+    doc = json_records(spark, path)
     lists = [n.name for n in t.format.nest if n.name in doc.columns]
     row = doc.agg(F.count("*").alias("__n"), *(F.sum(F.coalesce(F.size(c), F.lit(0))).alias(c) for c in lists)).first()
     return row["__n"], {c: row[c] or 0 for c in lists}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.plans.spec import Plan, Table
@@ -34,11 +35,21 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return rescue_dates(spark.read.csv(path, header=True, inferSchema=True, timestampFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"))
 
 
+def json_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a JSON array or of a file of a record per line. An array that has a record on each
+    line, as documents written here have, is read by lines and so in parts; any other one whole."""
+    lines = spark.read.text(path).select(F.trim("value").alias("value")).filter("value NOT IN ('', '[', ']')")
+    bare = F.regexp_replace("value", r",$", "")
+    n, good, first = lines.agg(F.count("*"), F.count_if(F.when(bare.startswith("{"), F.try_parse_json(bare).isNotNull()).otherwise(False)), F.min("value")).first()
+    if n and n == good:
+        values = getattr(lines.select(bare.alias("value"))._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        return DataFrame(spark._jsparkSession.read().json(values), spark)
+    begins = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
+    return spark.read.json(path, multiLine=bool(begins) and begins[0][0].lstrip().startswith(("[", "{")) and n != good)
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array or a record per line, told by the first character."""
-    first = spark.read.text(path).filter("trim(value) <> ''").limit(1).collect()
-    whole = bool(first) and first[0][0].lstrip().startswith("[")
-    return rescue_dates(flatten(spark.read.json(path, multiLine=whole)))
+    return rescue_dates(flatten(json_records(spark, path)))
 
 
 def _listing(spark: SparkSession, folder: str) -> list[tuple[str, str, bool]]:
@@ -56,8 +67,9 @@ def _naive(df: DataFrame) -> DataFrame:
     return df.select(*(df[f"`{c}`"].cast("timestamp_ntz").alias(c) if isinstance(k, T.TimestampType) else df[f"`{c}`"] for c, k in kinds.items()))
 
 
-def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Every table of a folder by file name; documents in columns are expanded, nested lists become tables."""
+def load(spark: SparkSession, folder: str, most: int | None = None) -> dict[str, DataFrame]:
+    """Every table of a folder by file name; documents in columns are expanded, nested lists become tables.
+    most: rows of each table to look at, whichever come first; None for all."""
     out: dict[str, DataFrame] = {}
     for name, path, is_folder in _listing(spark, folder):
         stem, dot, suffix = name.rpartition(".")
@@ -74,5 +86,6 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             out |= xml.read_entities(spark, path, name)
     if not out:
         raise SourceError(f"no Parquet, CSV, JSON or XML tables in {folder}")
+    out = out if most is None else {n: df.limit(most) for n, df in out.items()}
     expanded = {n: _naive(expand_all(df)) for n, df in out.items()}
     return {n: part for name, df in expanded.items() for n, part in extract(name, df)}

@@ -1,7 +1,8 @@
 """Columns out of JSON and XML text: payload expansion, flattening, extraction of nested lists.
 
-Schemas are inferred by Spark's JSON reader over all values of a column; XML values go through
-one Arrow-batched function that yields flat maps of strings.
+What a column holds is decided by all its values. Schemas are inferred by Spark's JSON reader over
+all values, inside the JVM; XML values go through one Arrow-batched function that yields flat maps
+of strings.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from itertools import chain, count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,7 +21,6 @@ from tabloom.operators.stats import q
 from tabloom.plans.spec import Table
 from tabloom.sources.xml import flatten_record
 
-SNIFF = 100
 _SPARK = {"int64": "bigint", "float64": "double", "string": "string", "bool": "boolean", "timestamp": "timestamp_ntz"}
 INTEGER, STAMP = r"^[+-]?[0-9]+$", r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
 
@@ -60,6 +61,16 @@ def rescue_dates(df: DataFrame) -> DataFrame:
     return typed(df, ("timestamp_ntz",))
 
 
+#: Forms of dates and times that lenient_dates tries in turn.
+DATE_FORMS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy", "MM-dd-yyyy", "yyyyMMdd")
+
+
+def lenient_dates(df: DataFrame, *columns: str, forms: tuple[str, ...] = DATE_FORMS) -> DataFrame:
+    """df with the columns as timestamps by the first form that a value has, null where it has none."""
+    read = lambda c: F.coalesce(*(F.try_to_timestamp(F.trim(q(c)), F.lit(form)) for form in forms)).cast("timestamp_ntz")
+    return df.select(*(read(c).alias(c) if c in columns else q(c) for c in df.columns))
+
+
 # --- structs and payloads ------------------------------------------------------------------
 
 
@@ -80,38 +91,47 @@ def flatten(df: DataFrame) -> DataFrame:
     return df
 
 
-def payload_kind(df: DataFrame, column: str) -> str | None:
-    """json or xml if some values are there and all of the first SNIFF are objects or elements."""
-    values = [r[0].strip() for r in df.select(q(column)).filter(q(column).isNotNull()).limit(SNIFF).collect()]
-    if not values:
-        return None
-    try:
-        if all(v.startswith("{") and isinstance(json.loads(v), dict) for v in values):
-            return "json"
-    except ValueError:
-        pass
-    try:
-        if all(v.startswith("<") and len(ET.fromstring(v)) >= 0 for v in values):
-            return "xml"
-    except ET.ParseError:
-        pass
-    return None
+@F.pandas_udf(T.BooleanType())
+def _is_xml(texts: pd.Series) -> pd.Series:
+    def parses(t: str | None) -> bool:
+        try:
+            return t is not None and ET.fromstring(t) is not None
+        except ET.ParseError:
+            return False
+
+    return texts.map(parses).astype(bool)
+
+
+def payload_kinds(df: DataFrame) -> dict[str, str]:
+    """The string columns that hold documents only, json or xml: there are values, and each is an
+    object or an element. One aggregate for all columns; XML is parsed only where all values look like it."""
+    strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    if not strings:
+        return {}
+    json_ = lambda x: F.when(x.startswith("{"), F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT")).otherwise(False)
+    tests = {"n": F.count, "json": lambda x: F.count_if(json_(F.trim(x))), "xml": lambda x: F.count_if(F.trim(x).startswith("<") & F.trim(x).endswith(">"))}
+    row = df.agg(*(t(q(c)).alias(f"{k}{i}") for i, c in enumerate(strings) for k, t in tests.items())).first()
+    held = {k: [c for i, c in enumerate(strings) if row[f"n{i}"] and row[f"n{i}"] == row[f"{k}{i}"]] for k in ("json", "xml")}
+    broken = df.agg(*(F.count_if(q(c).isNotNull() & ~_is_xml(q(c))).alias(f"b{i}") for i, c in enumerate(held["xml"]))).first() if held["xml"] else []
+    return dict.fromkeys(held["json"], "json") | {c: "xml" for c, b in zip(held["xml"], broken, strict=True) if not b}
 
 
 def json_schema(df: DataFrame, column: str) -> T.StructType:
     """What all values of column hold."""
-    return df.sparkSession.read.json(df.select(q(column).cast("string").alias("value")).filter("value IS NOT NULL").rdd.map(lambda r: r[0])).schema
+    spark = df.sparkSession
+    values = df.select(q(column).cast("string").alias("value")).filter("value IS NOT NULL")._jdf
+    return T.StructType.fromJson(json.loads(spark._jsparkSession.read().json(getattr(values, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())).schema().json()))
 
 
 def _merge(df: DataFrame, drop: str, made: Column, kind: T.StructType) -> DataFrame:
-    taken = {c for c in df.columns if c != drop}
-    out = [q(c) for c in taken and df.columns if c != drop]
-    fields = []
+    """df with the fields of made in place of column drop, under names that no column has."""
+    kept = [c for c in df.columns if c != drop]
+    names: dict[str, str] = {}
     for f in kind.fields:
-        name = f.name if f.name not in taken else f"{drop}_{f.name}"
-        fields.append((f.name, name))
+        tries = chain([f.name, f"{drop}_{f.name}"], (f"{drop}_{f.name}_{i}" for i in count(2)))
+        names[f.name] = next(n for n in tries if n not in kept and n not in names.values())
     inner = df.withColumn("__payload", made)
-    return inner.select(*out, *(F.col("__payload").getField(a).alias(b) for a, b in fields))
+    return inner.select(*map(q, kept), *(F.col("__payload").getField(a).alias(b) for a, b in names.items()))
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
@@ -142,9 +162,8 @@ def expand(df: DataFrame, column: str, kind: str) -> DataFrame:
 
 def expand_all(df: DataFrame) -> DataFrame:
     """Every string column of documents expanded."""
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType) and (kind := payload_kind(df, f.name)):
-            df = expand(df, f.name, kind)
+    for c, kind in payload_kinds(df).items():
+        df = expand(df, c, kind)
     return df
 
 

@@ -1,7 +1,10 @@
 """XML files as tables: records are the root's direct children, read one at a time.
 
-A file is parsed by one task, element by element, so memory follows the largest record and not
-the file; many files are spread over tasks. Values are strings until they are typed.
+A file is opened where it lies and parsed by one task, element by element, so memory follows the
+largest record and a batch of rows, not the file; many files are spread over tasks by their sizes.
+Stores that Arrow's file systems don't reach are read through Spark instead, a file at a time.
+Values are strings until they are typed. Columns stand in the order in which records first have
+them, files by name.
 """
 
 from __future__ import annotations
@@ -12,12 +15,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.operators.stats import q
 
-BATCH_ROWS = 65_536
+BATCH_ROWS = 8192
+#: Schemes that Arrow opens by itself, and the names that it knows them by.
+OPENED = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
+
+
+class EmptySource(FileNotFoundError):
+    """A place without records to read."""
 
 
 def local(tag: str) -> str:
@@ -25,21 +35,24 @@ def local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1].rsplit(":", 1)[-1]
 
 
-def flatten_record(record: ET.Element) -> dict[str, str | None]:
-    """Leaf texts by name; a name that is taken becomes parent_name, one that is taken again is replaced.
-    Blank texts are None, attributes and text between elements are ignored."""
-    out: dict[str, str | None] = {}
+def _leaves(el: ET.Element) -> Iterator[tuple[str, str, str | None]]:
+    """owner, name, text of what el holds: the names of a child with children are those of its own flat
+    record, owned by the child; a leaf is owned by el."""
+    for child in el:
+        if not isinstance(child.tag, str):
+            continue  # a comment or an instruction
+        if len(child):
+            yield from ((local(child.tag), n, t) for n, t in flatten_record(child).items())
+        else:
+            yield local(el.tag), local(child.tag), (child.text or "").strip() or None
 
-    def walk(el: ET.Element) -> None:
-        for child in el:
-            if len(child):
-                walk(child)
-                continue
-            name = local(child.tag)
-            text = (child.text or "").strip()
-            out[name if name not in out else f"{local(el.tag)}_{name}"] = text or None
 
-    walk(record)
+def flatten_record(record: ET.Element) -> dict[str, str | None]:
+    """Leaf texts by name; a name that is taken at some level becomes owner_name there, one that is taken
+    again is replaced. Blank texts are None, attributes and text between elements are ignored."""
+    out: dict[str, str | None] = {}
+    for owner, name, text in _leaves(record):
+        out[name if name not in out else f"{owner}_{name}"] = text
     return out
 
 
@@ -58,33 +71,67 @@ def iter_records(source: object) -> Iterator[ET.Element]:
 
 
 
+def _opened(source: object) -> object:
+    """A stream of a file's bytes, by its URI; content that Spark has read comes as bytes."""
+    if isinstance(source, bytes):
+        return io.BytesIO(source)
+    scheme, _, rest = source.partition(":")
+    system, path = pyarrow.fs.FileSystem.from_uri(f"{OPENED[scheme]}://{rest.removeprefix('//')}" if rest.startswith("//") else f"{OPENED[scheme]}://{rest}")
+    return system.open_input_stream(path, buffer_size=1 << 20)
+
+
+def _sources(b: pa.RecordBatch) -> Iterator[tuple[str, Iterator[ET.Element]]]:
+    """Path and records of each file of a batch of (path) or (path, content)."""
+    held = b.column(1) if b.num_columns > 1 else b.column(0)
+    for path, source in zip(b.column(0).to_pylist(), held, strict=True):
+        with _opened(source.as_py()) as stream:
+            yield path, iter_records(stream)
+
+
+_RECORDS = "path string, row long, tag string, fields map<string,string>"
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.map_(pa.string(), pa.string())
+
+    def pack(path: str, first: int, tags: list[str], maps: list[list]) -> pa.RecordBatch:
+        rows = pa.array(range(first, first + len(tags)), pa.int64())
+        return pa.record_batch([pa.array([path] * len(tags), pa.string()), rows, pa.array(tags, pa.string()), pa.array(maps, kind)], names=["path", "row", "tag", "fields"])
+
     for b in batches:
-        for content in b.column(0).to_pylist():
-            tags, maps = [], []
-            for el in iter_records(io.BytesIO(content)):
+        for path, records in _sources(b):
+            first, tags, maps = 0, [], []
+            for el in records:
                 tags.append(local(el.tag))
                 maps.append(list(flatten_record(el).items()))
                 if len(maps) == BATCH_ROWS:
-                    yield pa.record_batch([pa.array(tags), pa.array(maps, kind)], names=["tag", "fields"])
-                    tags, maps = [], []
-            yield pa.record_batch([pa.array(tags, pa.string()), pa.array(maps, kind)], names=["tag", "fields"])
+                    yield pack(path, first, tags, maps)
+                    first, tags, maps = first + len(maps), [], []
+            yield pack(path, first, tags, maps)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
+    """path (and content where executors can't open it) of an .xml file or of those of a folder."""
     reader = spark.read.format("binaryFile")
     reader = reader if path.lower().endswith(".xml") else reader.option("pathGlobFilter", "*.xml")
-    return reader.load(path).select("content")
+    found = reader.load(path)
+    first = found.select("path").first()
+    if first is None:
+        raise EmptySource(f"no .xml files in {path}")
+    return found.select("path") if first[0].partition(":")[0] in OPENED else found.select("path", "content")
 
 
 def raw_records(spark: SparkSession, path: str) -> DataFrame:
-    """tag, fields (map of strings) of each record of a file or of all files of a folder."""
-    return _files(spark, path).mapInArrow(_records, "tag string, fields map<string,string>")
+    """path, row (in its file), tag, fields (map of strings) of each record of a file or of all files of a folder."""
+    return _files(spark, path).mapInArrow(_records, _RECORDS)
 
 
-def _wide(found: DataFrame) -> DataFrame:
-    names = sorted(r["k"] for r in found.select(F.explode(F.map_keys("fields")).alias("k")).distinct().collect())
+def _wide(found: DataFrame, place: str) -> DataFrame:
+    """The fields as columns, in order of their first appearance."""
+    seen = found.select("path", "row", F.posexplode(F.map_keys("fields")).alias("at", "k")).groupBy("k").agg(F.min(F.struct("path", "row", "at")).alias("first"))
+    names = [r["k"] for r in seen.orderBy("first").select("k").collect()]
+    if not names:
+        raise EmptySource(f"{place} holds no records with fields")
     return found.select(*(F.try_element_at("fields", F.lit(n)).alias(n) for n in names))
 
 
@@ -92,7 +139,7 @@ def read(spark: SparkSession, path: str, types: bool = True) -> DataFrame:
     """One row per record; columns are all names that occur, absent ones null."""
     from tabloom.sources.payloads import typed
 
-    out = _wide(raw_records(spark, path))
+    out = _wide(raw_records(spark, path), path)
     return typed(out) if types else out
 
 
@@ -101,7 +148,7 @@ def count(spark: SparkSession, path: str) -> int:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([pa.array([sum(1 for _ in iter_records(io.BytesIO(c))) for c in b.column(0).to_pylist()], pa.int64())], names=["n"])
+            yield pa.record_batch([pa.array([sum(1 for _ in records) for _, records in _sources(b)], pa.int64())], names=["n"])
 
     return _files(spark, path).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
@@ -153,22 +200,30 @@ def read_entities(spark: SparkSession, path: str, name: str) -> dict[str, DataFr
 
     def tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = sorted({t for c in b.column(0).to_pylist() for t in list_tags(iter_records(io.BytesIO(c)))})
+            found = sorted({t for _, records in _sources(b) for t in list_tags(records)})
             yield pa.record_batch([pa.array(found, pa.string())], names=["tag"])
 
     files = _files(spark, path)
     lists = {r["tag"] for r in files.mapInArrow(tags, "tag string").distinct().collect()}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.map_(pa.string(), pa.string())
         for b in batches:
-            for content in b.column(0).to_pylist():
-                held: list[tuple[str, list]] = []
-                for el in iter_records(io.BytesIO(content)):
-                    held += [(t, list(r.items())) for t, r in _split(el, lists, name, {})]
-                yield pa.record_batch([pa.array([h[0] for h in held], pa.string()), pa.array([h[1] for h in held], pa.map_(pa.string(), pa.string()))], names=["tag", "fields"])
-
-    found = files.mapInArrow(rows, "tag string, fields map<string,string>")
-    return {t: typed(_wide(found.filter(q("tag") == t))) for t in [name, *sorted(lists - {name})]}
+            for place, records in _sources(b):
+                held: list[tuple[int, str, list]] = []
+
+                def pack() -> pa.RecordBatch:
+                    return pa.record_batch([pa.array([place] * len(held), pa.string()), pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.string()), pa.array([h[2] for h in held], kind)], names=["path", "row", "tag", "fields"])  # noqa: B023
+
+                for i, el in enumerate(records):
+                    held += [(i, t, list(r.items())) for t, r in _split(el, lists, name, {})]
+                    if len(held) >= BATCH_ROWS:
+                        yield pack()
+                        held = []
+                yield pack()
+
+    found = files.mapInArrow(rows, _RECORDS)
+    return {t: typed(_wide(found.filter(q("tag") == t), path)) for t in [name, *sorted(lists - {name})]}
 
 
 def ingest(spark: SparkSession, path: str, out: str, types: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tabloom.sources.xml import _records
+from tabloom.sources.xml import _RECORDS, _records
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -18,7 +18,7 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 def xml_records(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of tag and fields (map of strings) of each record of each new file."""
     files = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*.xml").load(folder)
-    return files.select("content").mapInArrow(_records, "tag string, fields map<string,string>")
+    return files.select("path", "content").mapInArrow(_records, _RECORDS).select("tag", "fields")
 
 
 def columns(records: DataFrame, names: list[str]) -> DataFrame:

@@ -59,6 +59,36 @@ def test_zipf_is_one_rule_for_small_and_large_tables(spark):
         assert all(r.x == min(np.searchsorted(cdf, r.u, side="left"), n - 1) for r in rows)
 
 
+def test_zipf_beyond_its_table(monkeypatch):
+    """Ranks past the head agree with the whole table's, and sums with plain ones."""
+    n = 40_000
+    u = np.linspace(1e-9, 1 - 1e-9, 20_001)
+    for a in (0.0, 0.4, 1.0, 1.3, 3.0):
+        want = np.clip(np.searchsorted(special.zipf_cdf(a, n), u, side="left"), 0, n - 1)
+        got = special.zipf_rank(u, a, n, np.cumsum(np.arange(1, 2001, dtype=float) ** -a))
+        assert (got[want < 1999] == want[want < 1999]).all() and abs(got - want).max() <= 1 and (got != want).mean() < 1e-3
+        assert special.harmonic(a, n, 1000) == pytest.approx((np.arange(1, n + 1, dtype=float) ** -a).sum(), rel=1e-12)
+
+
+def test_rank_correlations_at_once(spark):
+    df = spark.createDataFrame([(i * 7 % 31, float(i % 5), i if i % 3 else None, 1) for i in range(90)], "a int, b double, c int, d int")
+    got = stats.spearmans(df, ["a", "b", "c", "d"])
+    for x, y in (("a", "b"), ("b", "c"), ("c", "a"), ("a", "d")):
+        rho, n = stats.spearman(df, x, y)
+        assert got[x, y] == got[y, x] and got[x, y] == (pytest.approx(rho, abs=1e-12), n)
+    assert stats.spearmans(df, []) == {} and stats.medians(df, {}) == {}
+
+
+def test_too_many_categories(spark, monkeypatch):
+    from tabloom.operators import fit as fitting
+
+    monkeypatch.setattr(fitting, "MOST_CATEGORIES", 10)
+    df = spark.range(11).select(F.col("id").cast("string").alias("s"))
+    assert len(fitting.categories(df.limit(10), "s")[1]) == 10
+    with pytest.raises(ValueError, match="more than 10"):
+        fitting.categories(df, "s")
+
+
 def test_partitions_do_not_matter(spark):
     plan = parse(LIBRARY)
     one, many = generate(spark, plan, partitions=1), generate(spark, plan, partitions=7)

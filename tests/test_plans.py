@@ -6,7 +6,7 @@ import json
 import pytest
 import yaml
 
-from tabloom.plans import explain, spec
+from tabloom.plans import explain, spec, wizard
 from tabloom.plans.check import event_order
 from tabloom.plans.spec import MetadataError, dump, load, parse
 from tabloom.plans.wizard import Wizard
@@ -138,6 +138,32 @@ def test_wizard_by_script(tmp_path):
     assert plan.tables["items"].rows == 50 and plan.tables["parts"].parent == "items" and plan.tables["parts"].child_stride == 4
 
 
+def test_wizard_by_numbers_and_skipped_columns(tmp_path):
+    order = list(wizard.LAWS)
+    answers = iter(["items", "item_id", "price", "2", str(order.index("uniform") + 1), "9", "1", "note", "string", "skip", "", "50", ""])
+    assert wizard.Wizard(str(tmp_path / "w.yaml"), ask_line=lambda q: next(answers), tell=lambda s: None).run() == 0
+    columns = load(tmp_path / "w.yaml").tables["items"].columns
+    assert set(columns) == {"item_id", "price"} and columns["price"].type == "float64" and columns["price"].distribution.kind == "uniform"
+
+
+def test_all_faults_are_told(tmp_path):
+    doc = changed(f"{C}/columns/years/clamp", [5, 1])
+    doc["tables"]["members"]["columns"]["budget"]["distribution"]["sigma"] = -1
+    doc["tables"]["loans"]["derived"][0]["name"] = None
+    with pytest.raises(MetadataError) as e:
+        parse(doc)
+    paths = [line.partition(": ")[0] for line in str(e.value).splitlines()]
+    assert paths == ["tables.members.columns.years.clamp", "tables.members.columns.budget.distribution", "tables.loans.derived[0].name"]
+
+
+def test_public_names():
+    import tabloom
+
+    assert all(callable(getattr(tabloom, n)) for n in tabloom.__all__)
+    with pytest.raises(AttributeError):
+        tabloom.nothing  # noqa: B018
+
+
 def test_wizard_writes_what_is_invalid(tmp_path):
     answers = iter(["items", "item_id", "price", "float64", "normal", "0", "-1", "", "5", ""])
     assert Wizard(str(tmp_path / "w.json"), ask_line=lambda q: next(answers), tell=lambda s: None).run() == 1
