@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
 last return the columns of documents; the last returns the committed shards' rows.
+
+Defined results, for every stage: each row is judged by its own text, whatever its doc_id. Null or
+empty texts fail the quality rules. Rows that repeat, null ids and several texts under one id are
+documents like others: of a group of near-duplicates one row stays, the one with the smallest id,
+null last. A null source is a source of its own. Extra columns go through unchanged, whatever their
+names. An empty table gives an empty result. A missing benchmark is an error.
 """
 
 from __future__ import annotations
@@ -21,7 +27,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    """A document goes for a whole window of one item; items shorter than a window need company."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"), least_short=2)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +47,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Near-dedup by similarity of shingle sets is not practical SQL; tests hold run() against brute force.
+#: Near-dedup by similarity of shingle sets is not practical SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
