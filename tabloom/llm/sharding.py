@@ -132,7 +132,9 @@ class ShardStore:
 
     def _measured(self, runs: list[str]) -> tuple[list[Run], DataFrame]:
         """Runs (relative paths) and their shards; footers are read, not data."""
-        rows = self.spark.read.parquet(*(f"{self.root}/{r}" for r in runs)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+        rows = self.spark.read.parquet(*(f"{self.root}/{r}" for r in runs))
+        of = rows.metadataColumn("_metadata")  # also where the data has a column of that name
+        rows = rows.select(of["file_path"].alias("path"), of["file_size"].alias("bytes"))
         shards = rows.groupBy("path", "bytes").agg(F.count("*").alias("rows")).withColumn("path", F.regexp_extract("path", r"data/[^/]+/[^/]+/[^/]+$", 0))
         shards = shards.select(F.regexp_replace("path", "/[^/]*$", "").alias("run"), "path", "rows", "bytes")
         each = shards.groupBy("run").agg(F.sum("rows").alias("r"), F.sum("bytes").alias("b"), F.count("*").alias("n"))
@@ -142,8 +144,9 @@ class ShardStore:
         """Each value of arrival (one arrival if None) becomes a run; all are committed as one version."""
         folder = uuid.uuid4().hex
         mark = self._staged(folder)
-        named = rows.withColumn(_PART, F.lit(0) if arrival is None else arrival)
-        named.write.option("maxRecordsPerFile", small_rows).partitionBy(_PART).parquet(f"{self.root}/data/{folder}")
+        part = max([_PART, *(c + "_" for c in rows.columns if c.startswith(_PART))], key=len)
+        named = rows.withColumn(part, F.lit(0) if arrival is None else arrival)
+        named.write.option("maxRecordsPerFile", small_rows).partitionBy(part).parquet(f"{self.root}/data/{folder}")
         names = [s.getPath().getName() for s in self._listed(f"data/{folder}") if s.isDirectory()]
         new, shards = self._measured([f"data/{folder}/{n}" for n in names]) if names else ([], None)
         while True:
@@ -230,5 +233,5 @@ def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
     cols = ["doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.md5(text).alias("digest")]
     if not store.runs():
         return rows.select(*cols, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("shard_bytes"))
-    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
-    return rows.select(*cols, number.alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"))
+    of = rows.metadataColumn("_metadata")
+    return rows.select(*cols, F.regexp_extract(of["file_name"], r"part-(\d+)", 1).cast("int").alias("shard"), of["file_size"].alias("shard_bytes"))
