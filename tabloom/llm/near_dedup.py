@@ -54,7 +54,7 @@ BASE = 1.01
 #: Standard deviations that an estimate may lie short of the threshold.
 REACH = 5
 #: Members of a hub that one group holds, about.
-SPREAD = 256
+SPREAD = 64
 #: Shingles of a bucket's members in one block: BLOCK while that makes at most BLOCKS of them, else as many as it takes, up to MOST.
 BLOCK, BLOCKS, MOST = 25_000, 8, 2_000_000
 
