@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +21,27 @@ class SourceError(Exception):
     """A folder or file that can't be read as tables."""
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, removed at the end; a temporary one where a local master has none set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SourceError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tabloom-")
+    path = f"{base}/tabloom-{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    @atexit.register
+    def remove() -> None:
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # the JVM may have gone already
+            return
+
+    return path
+
+
 def table_path(out: str, t: Table) -> str:
     """Where a table's Parquet stands: under its source, if it has one."""
     return "/".join(filter(None, (out.rstrip("/"), t.source, t.name)))
@@ -32,7 +57,10 @@ def read_tables(spark: SparkSession, plan: Plan, out: str) -> dict[str, DataFram
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return rescue_dates(spark.read.csv(path, header=True, inferSchema=True, timestampFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"))
+    """Quotes inside quoted fields are doubled. Only files with line breaks inside quotes are read whole."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = spark.read.text(path).filter(quotes % 2 == 1).limit(1).count() > 0
+    return rescue_dates(spark.read.csv(path, header=True, inferSchema=True, escape='"', multiLine=broken, timestampFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"))
 
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
