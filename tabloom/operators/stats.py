@@ -17,6 +17,8 @@ from tabloom.plans.spec import pow2_above as pow2_above
 
 #: Rows up to which the built-in exact median (one task's memory) is used.
 MEDIAN_ROWS = 10_000_000
+#: Characters from which a value is hashed before values are counted.
+LONG = 48
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -52,8 +54,15 @@ def iso_seconds(seconds: int) -> str:
 
 
 def distinct_counts(df: DataFrame) -> DataFrame:
-    """column, n_unique (non-null). Columns are unpivoted, so there is one shuffle for all of them."""
-    pairs = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("value")) for c in df.columns)))
+    """column, n_unique (non-null). Columns are unpivoted, so there is one shuffle for all of them; long
+    values go as 128-bit hashes."""
+
+    def short(c: str) -> Column:
+        text = q(c).cast("string")
+        return F.when(F.length(text) > LONG, F.concat(F.lit("#"), F.md5(text))).otherwise(text) if kinds[c] == "string" else text
+
+    kinds = types_of(df)
+    pairs = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), short(c).alias("value")) for c in df.columns)))
     return df.select(pairs).distinct().groupBy("column").agg(F.count("value").alias("n_unique"))
 
 
