@@ -129,12 +129,23 @@ def ablate(led: DataFrame, policies: list[Policy], rules: tuple[Rule, ...] = RUL
     return by_bits.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
-def judge(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
+def write_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """The ledger of docs as Parquet at path, read again: any number of policies can be applied to it, and
+    ablations computed, without measuring a text twice."""
+    ledger(measure(docs)).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def apply(led: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """doc_id, measurements, base_failed, kept, failure_bits and the policy's version."""
-    led = ledger(measure(docs))
     return led.select("doc_id", *MEASURES[:5], (~passes(BASE)).alias("base_failed"), (passes(BASE) & passes(policy)).alias("kept"), *MEASURES[5:], "failure_bits", F.lit(policy.version).alias("policy"))
 
 
+def judge(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
+    """apply() on the ledger of docs, which is not stored."""
+    return apply(ledger(measure(docs)), policy)
+
+
 def keep_passing(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """The rows of docs that pass BASE and policy, with the columns of docs."""
     cols = docs.columns

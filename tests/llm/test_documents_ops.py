@@ -86,6 +86,13 @@ def test_ablation(docs):
         assert (r.documents, r.kept, r.kept_without) == (len(bits), sum(not b & p.mask() for b in bits), sum(not b & p.mask() & ~(1 << rule.bit) for b in bits))
 
 
+def test_stored_ledger(spark, docs, tmp_path):
+    """Policies applied to a stored ledger decide as they do on the documents."""
+    led = quality_rules.write_ledger(docs, str(tmp_path / "ledger"))
+    for policy in (quality_rules.BASE, quality_rules.STANDARD):
+        _match(quality_rules.apply(led, policy).collect(), quality_rules.judge(docs, policy).collect())
+
+
 def _components(rows, width, threshold):
     sets = {}
     for d, t in rows:
