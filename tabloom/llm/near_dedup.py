@@ -352,11 +352,14 @@ def _grouped(docs: DataFrame, width: int, threshold: int, exact: bool, nulls: bo
     met = whole.groupBy("set_key").agg(one.alias("one"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     classes = stored(met.select(F.monotonically_increasing_id().alias("v"), "set_key", "one.doc_id", "one.text_key", "copies", "n", "registers"), "classes")
     label = _labels(docs, classes, width, threshold, exact)
-    told = classes.drop("n", "registers").join(label, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    linked = stored(classes.drop("n", "registers").join(label, "v"), "linked")
     first = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")
-    tops = told.groupBy("comp").agg(F.min(first).alias("top"))
-    # most classes are alone in their component and need no join
-    return sketched.drop("registers"), told.join(tops, "comp").select("set_key", "copies", "doc_id", "text_key", "top")
+    tops = stored(linked.groupBy("comp").agg(F.min(first).alias("top")), "tops")
+    met = linked.join(maybe_broadcast(tops), "comp")
+    # most classes are alone in their component and need no join with it
+    alone = classes.join(label, "v", "left_anti").withColumn("top", first)
+    kept = ["set_key", "copies", "doc_id", "text_key", "top"]
+    return sketched.drop("registers"), met.select(*kept).unionByName(alone.select(*kept))
 
 
 def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, exact: bool = False) -> DataFrame:
