@@ -8,8 +8,11 @@ stochastic gradient descent in numpy, a document a step.
 Training takes at most SAMPLE labelled documents, those with the smallest hash of their doc_id,
 so the bound is a parameter and the choice doesn't depend on order or size. Features are made on
 the executors; the driver gets the sample's features and trains. Scoring covers every whole text:
-the layer is linear, so each hashed feature has one number, a word's numbers are summed once
-and kept in a memo, and the score is the logistic of their mean.
+the layer is linear, so each hashed feature has one number, the numbers of a word are summed once
+for all its occurrences in a batch of texts, and the score is the logistic of their mean.
+
+The marker is an addition to the method: averaged words alone can't tell a text that says the same
+again and again from one that doesn't. It stands for AGAIN features, about those of a word.
 
 Defined results: null or empty text has no features and is scored by the bias alone; without
 labels of both classes every score is the share of label 1 (0.5 without labels); labels that are
@@ -19,16 +22,17 @@ smallest counts; a null doc_id is never held out nor learned. Only text is an in
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.hashing import finish
+
 BUCKETS = 1 << 16
 DIMENSION = 16
 GRAMS = (3, 4)
@@ -36,8 +40,13 @@ SAMPLE = 3000
 EPOCHS = 5
 RATE = 1.0
 SEED = 11
+_STEP = 0x9E3779B97F4A7C15
 THRESHOLD = 0.7
-_AGAIN = xxhash.xxh32_intdigest("again", seed=7) % BUCKETS
+#: The marker's bucket, and the features that one marker stands for.
+_AGAIN = BUCKETS - 1
+AGAIN = 12
+#: Words that are scored together, about.
+BATCH_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -48,11 +57,22 @@ class Model:
     bias: float
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of the word and of its character n-grams, the word's ends marked."""
-    marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
-    return [xxhash.xxh32_intdigest(g) % BUCKETS for g in (word, *grams)]
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket, and number of its word, of every feature of the words: the word itself and its character
+    n-grams, the word's ends marked. Hashes are polynomials of the characters, mixed."""
+    marked = [f"<{w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    first = np.cumsum(size) - size
+    word = np.repeat(np.arange(len(marked)), size)
+    place = np.arange(len(codes)) - first[word]
+    powers = np.cumprod(np.full(max(size.max(initial=0), max(GRAMS)), _STEP, np.uint64))
+    owners, hashes = [np.arange(len(marked))], [np.add.reduceat(codes * powers[place], first) if len(marked) else codes]
+    for n in GRAMS:
+        at = np.flatnonzero(place + n <= size[word])
+        owners.append(word[at])
+        hashes.append(sum((codes[at + j] * powers[j] for j in range(n)), np.full(len(at), n << 32, np.uint64)))
+    return (finish(np.concatenate(hashes)) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owners)
 
 
 def again(words: list[str]) -> int:
@@ -62,20 +82,14 @@ def again(words: list[str]) -> int:
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares of its features."""
-    words = (text or "").split()
-    counts: Counter[int] = Counter()
-    for word, n in Counter(words).items():
-        for f in word_features(word):
-            counts[f] += n
-    if k := again(words):
-        counts[_AGAIN] += k * _AGAIN_WEIGHT
-    ids = np.fromiter(counts.keys(), np.int32, len(counts))
-    share = np.fromiter(counts.values(), np.float32, len(counts))
-    return ids, share / max(share.sum(), 1)
-
-
-#: Features that one marker stands for: about those of a word, so that repetition can outweigh the words.
-_AGAIN_WEIGHT = 12
+    words = split(pa.array([text], pa.string()))[0]
+    coded = words.dictionary_encode()
+    times = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
+    buckets, owner = word_features(coded.dictionary.to_pylist())
+    counts = np.bincount(buckets, weights=times[owner], minlength=BUCKETS)
+    counts[_AGAIN] += again(words.to_pylist()) * AGAIN
+    ids = np.flatnonzero(counts)
+    return ids.astype(np.int32), (counts[ids] / max(counts.sum(), 1)).astype(np.float32)
 
 
 def train(samples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
@@ -105,38 +119,54 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCH
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-class _Memo(dict):
-    """word: (sum of its features' weights, their number)."""
-
-    def __init__(self, weight: list[float]):
-        super().__init__()
-        self._weight = weight
-
-    def __missing__(self, word: str) -> tuple[float, int]:
-        f = word_features(word)
-        self[word] = out = (sum(self._weight[i] for i in f), len(f))
-        return out
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, what stands between white space, and for each the number of its text."""
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    words = lists.flatten()
+    held = pc.not_equal(words, "")
+    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return words.filter(held), doc[held.to_numpy(zero_copy_only=False)]
+
+
+def _repeats(ids: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """again() of each text at once. ids: a number for each word, equal for equal words; doc: its text.
+    Windows are sorted by text and a hash in the bits that the texts' numbers leave."""
+    own = doc[2:] == doc[:-2]  # windows that lie in one text
+    three = [part.astype(np.uint64)[own] for part in (ids[:-2], ids[1:-1], ids[2:])]
+    bits = np.uint64(max(docs - 1, 1).bit_length())
+    key = finish(three[0] << np.uint64(32) | three[1])
+    key = finish(key + three[2] * np.uint64(0x9E3779B97F4A7C15)) >> bits
+    key |= doc[2:].astype(np.uint64)[own] << (np.uint64(64) - bits)
+    key.sort()
+    same = key[1:][key[1:] == key[:-1]]
+    return np.bincount((same >> (np.uint64(64) - bits)).astype(np.int64), minlength=docs)
+
+
+def _sums(texts: pa.Array, numbers: np.ndarray) -> np.ndarray:
+    """The mean of the numbers of each text's features, 0 without any."""
+    words, doc = split(texts)
+    coded = words.dictionary_encode()
+    ids = coded.indices.to_numpy(zero_copy_only=False)
+    buckets, owner = word_features(coded.dictionary.to_pylist())
+    weight, size = (np.bincount(owner, weights=x, minlength=len(coded.dictionary)) for x in (numbers[buckets], None))
+    total, n = (np.bincount(doc, weights=x[ids], minlength=len(texts)) for x in (weight, size))
+    r = _repeats(ids, doc, len(texts)) * AGAIN
+    return (total + r * numbers[_AGAIN]) / np.maximum(n + r, 1)
 
 
 def _score(weight: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(weight.tolist())
+        numbers = weight.astype(np.float64)
         for b in batches:
+            texts = b.column(2)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            cuts = np.searchsorted(sizes, np.arange(1, sizes[-1] // (6 * BATCH_WORDS) + 1) * 6 * BATCH_WORDS) if len(sizes) else []
+            bounds = [0, *sorted({int(c) for c in cuts} - {0}), b.num_rows]
             out = []
-            for text in b.column(2).to_pylist():
-                words = (text or "").split()
-                if len(memo) > 300_000:
-                    memo.clear()
-                total, n = 0.0, 0
-                for word in words:
-                    w, k = memo[word]
-                    total += w
-                    n += k
-                if r := again(words) * _AGAIN_WEIGHT:
-                    total += r * float(weight[_AGAIN])
-                    n += r
-                out.append(bias + total / max(n, 1))
-            score = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -500, 500)))
+            for low, high in zip(bounds, bounds[1:], strict=False):
+                out.append(_sums(texts.slice(low, high - low), numbers))
+            z = bias + np.concatenate(out)
+            score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(score, pa.float64())], names=["doc_id", "held_out", "score"])
 
     return run
@@ -157,9 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     chosen = known.select(F.xxhash64("doc_id", F.lit(SEED)).alias("order"), "doc_id", "label").orderBy("order", "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("order", "label", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # a doc_id may stand on any number of rows: one text each goes on, so the driver gets sample rows at most
+    texts = texts.groupBy("order", "label", "doc_id").agg(F.min("text").alias("text")).select("order", "label", "text")
     rows = texts.mapInArrow(_featurise, "order long, label int, ids binary, shares binary").toPandas()
-    rows = rows.sort_values(["order", "ids"]).head(sample)
+    rows = rows.sort_values(["order", "ids"])
     return train([(int(y), np.frombuffer(i, np.int32), np.frombuffer(s, np.float32)) for y, i, s in zip(rows["label"], rows["ids"], rows["shares"], strict=True)])
 
 
