@@ -6,9 +6,11 @@ if blocks have (WIDTH + 1) // 2 words. So:
 1. Blocks are indexed; every rolling window of block length, of every document, probes them. A
    block whose words also stand at another place is an anchor. Probes travel as sorted hash
    arrays, one for each hash range and chunk of documents, in which a hash stands at most twice:
-   a passage that a third of all documents share is sent once or twice a chunk.
+   a passage that a third of all documents share is sent once or twice a chunk. The number of
+   ranges and of their partitions follows the words of the corpus, so no task's share grows with it.
 2. Hits are extended: the windows of WIDTH words around anchors are hashed in turn, and those
-   met at two or more places are repeats; runs of them are the maximal exact repeats.
+   met at two or more places are repeats; runs of them are the maximal exact repeats. Here too a
+   hash travels once for a chunk of documents, and the repeated ones come back as a list a chunk.
 3. Words under them go; documents without repeats are never looked at again.
 
 Documents of equal word sequences form a class. A class of several has every window elsewhere,
@@ -16,11 +18,11 @@ so all its words go if it has WIDTH; only one of it takes part in step 2. Window
 64-bit hashes of their words.
 
 Joins of texts are on doc_id and a 64-bit hash of the text with the list of documents that hold
-anchors, which is broadcast up to BROADCAST_ROWS rows and shuffled beyond.
+anchors, which is broadcast while its rows and bytes are few and shuffled beyond.
 
 Defined results: null or empty text has no words and keeps none (digest of the empty string);
-rows are documents, so a row that is repeated is a copy; doc_id may be null or repeated. Extra
-columns are not read.
+rows are documents, so a row that is repeated is a copy; doc_id may be null or repeated. An empty
+table gives an empty one. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,14 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import maybe_broadcast, stored
+from tabloom.llm.common import as_row, maybe_broadcast, stored, text_key, unfolded
 from tabloom.llm.hashing import WordHasher, windows
 
 WIDTH = 35
 #: Words whose probes are sorted and sent together.
 CHUNK = 1_000_000
-#: Hash ranges at least; more where there are more than a quarter as many shuffle partitions.
-RANGES = 1024
+#: Hash ranges at least, and for each partition of probes; probes of a partition, about.
+RANGES, RANGES_EACH = 1024, 8
+PROBES = 4_000_000
 
 
 def _column(batch: pa.RecordBatch, name: str) -> list:
@@ -109,16 +112,17 @@ def _probes(block: int, ranges: int):
 
 
 def _extend(width: int, block: int):
-    """Hashes of the windows around a document's anchors, with their places."""
+    """Hashes of the windows around a document's anchors, with their places; each class once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, seen = WordHasher(), set()
         for b in batches:
             k1, k2, at, found = [], [], [], []
             for key1, key2, text, anchors in zip(*(_column(b, c) for c in ("k1", "k2", "text", "anchors")), strict=True):
                 h = hasher((text or b"").split())
-                if len(h) < width or _sequence_key(h) != (key1, key2):
-                    continue  # another text of the same doc_id and hash
+                if len(h) < width or (key1, key2) in seen or _sequence_key(h) != (key1, key2):
+                    continue  # a repeated row, or another text of the same doc_id and hash
+                seen.add((key1, key2))
                 last = len(h) - width
                 starts = (np.asarray(anchors)[:, None] * block - np.arange(width - block + 1)[None, :]).ravel()
                 starts = np.unique(starts[(starts >= 0) & (starts <= last)])
@@ -131,6 +135,56 @@ def _extend(width: int, block: int):
     return run
 
 
+_CHUNKED = "chunk long, k1 long, k2 long, at array<int>, hashes array<long>, twice array<long>"
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents with the number of their chunk, about CHUNK windows of a task, and for each
+    chunk a row without a place: its distinct hashes, and those that it holds more than once."""
+    number, held, size, base = 0, [], 0, None
+
+    def total() -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        none, empty = pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int32()))
+        return pa.record_batch([pa.array([base + number], pa.int64()), none, none, empty, _lists([h], pa.int64()), _lists([h[n > 1]], pa.int64())], names=["chunk", "k1", "k2", "at", "hashes", "twice"])
+
+    for b in batches:
+        hashes, chunks = b.column(b.schema.get_field_index("hashes")), []
+        full = []
+        for i in range(b.num_rows):
+            base = b.column(0)[i].as_py() << 32
+            held.append(hashes[i].values.to_numpy())
+            size += len(held[-1])
+            chunks.append(base + number)
+            if size >= CHUNK:
+                full.append(total())
+                number, held, size = number + 1, [], 0
+        none = pa.array([None] * b.num_rows, pa.list_(pa.int64()))
+        yield pa.record_batch([pa.array(chunks, pa.int64()), *(b.column(b.schema.get_field_index(c)) for c in ("k1", "k2", "at", "hashes")), none], names=["chunk", "k1", "k2", "at", "hashes", "twice"])
+        yield from full
+    if held:
+        yield total()
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows, of each chunk its repeated hashes first: the places of repeated windows of each document."""
+    chunk, repeated = None, np.empty(0, np.int64)
+    for b in batches:
+        cols = {n: b.column(b.schema.get_field_index(n)) for n in ("at", "hashes")}
+        k1, k2, starts = [], [], []
+        for i, (c, first, a, z) in enumerate(zip(*(_column(b, n) for n in ("chunk", "first", "k1", "k2")), strict=True)):
+            h = cols["hashes"][i].values.to_numpy()
+            if first:
+                chunk, repeated = c, np.sort(h)
+            elif c == chunk and len(repeated) and len(h):
+                hit = repeated[np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)] == h
+                if hit.any():
+                    k1.append(a)
+                    k2.append(z)
+                    starts.append(cols["at"][i].values.to_numpy()[hit])
+        yield pa.record_batch([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _lists(starts, pa.int32())], names=["k1", "k2", "starts"])
+
+
 def _cut(width: int):
     """What is left of a document without the words under its repeated windows."""
 
@@ -157,14 +211,16 @@ def _cut(width: int):
     return run
 
 
-def _find(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """base (a row per document), classes (k1, k2, copies) and cut (k1, k2, n_removed, kept_sha, kept)."""
-    block = (width + 1) // 2
-    read = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+def _find(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """base (a row per document: doc_id, text_key, k1, k2, n_words, sha) and changed (k1, k2, copied,
+    n_removed, kept_sha, kept): the classes that lose words; copied ones lose all."""
+    spark, block = docs.sparkSession, (width + 1) // 2
+    read = docs.select("doc_id", F.col("text").cast("binary").alias("text"), text_key().alias("text_key"))
     base = stored(read.mapInArrow(_base(block), "doc_id long, text_key long, k1 long, k2 long, n_words long, sha string, blocks array<long>"), "base")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(RANGES, 1 << (4 * partitions - 1).bit_length())
-    probes = read.select("text").mapInArrow(_probes(block, ranges), "range int, hashes array<long>").repartition("range")
+    words = base.agg(F.sum("n_words")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // PROBES))
+    ranges = max(RANGES, 1 << (RANGES_EACH * parts - 1).bit_length())
+    probes = read.select("text").mapInArrow(_probes(block, ranges), "range int, hashes array<long>").repartition(parts, "range")
     each = probes.select("range", F.explode("hashes").alias("h")).select("range", F.col("h").bitwiseAND(F.lit(-2).cast("long")).alias("block"), F.col("h").bitwiseAND(F.lit(1).cast("long")).alias("own"))
     met = each.groupBy("range", "block").agg(F.count("*").alias("n"), F.max("own").alias("own")).filter("n > 1 AND own = 1")
     anchors = maybe_broadcast(stored(met.select("block"), "anchors"))
@@ -177,42 +233,45 @@ def _find(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]
     held = stored(hits.groupBy("k1", "k2", "doc_id", "text_key").agg(F.collect_list("pos").alias("anchors")), "hits")
     named = maybe_broadcast(held.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"}))
     texts = stored(read.join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))).select("k1", "k2", "text", "anchors"), "texts")
-    around = stored(texts.mapInArrow(_extend(width, block), "k1 long, k2 long, at array<int>, hashes array<long>").dropDuplicates(["k1", "k2"]), "windows")
-    repeated = around.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    # a class of several needs no windows of its own: all its words go
-    single = around.join(classes.filter("copies = 1").select("k1", "k2"), ["k1", "k2"], "left_semi")
-    spans = single.select("k1", "k2", F.inline(F.arrays_zip("at", F.col("hashes").alias("h")))).toDF("k1", "k2", "at", "h")
-    starts = stored(spans.join(stored(repeated, "repeated"), "h").groupBy("k1", "k2").agg(F.collect_list("at").alias("starts")), "starts")
-    cut = texts.select("k1", "k2", "text").join(starts, ["k1", "k2"]).mapInArrow(_cut(width), "k1 long, k2 long, n_removed long, kept_sha string, kept string")
-    return base, classes.select("k1", "k2", "copies"), cut
+    starts = _starts(texts, classes, width, block)
+    cut = texts.select("k1", "k2", "text").join(maybe_broadcast(starts), ["k1", "k2"]).mapInArrow(_cut(width), "k1 long, k2 long, n_removed long, kept_sha string, kept string")
+    copied = classes.filter("copies > 1").select("k1", "k2", F.lit(True).alias("copied"), F.lit(0).cast("long").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha"), F.lit("").alias("kept"))
+    changed = cut.select("k1", "k2", F.lit(False).alias("copied"), "n_removed", "kept_sha", "kept").unionByName(copied)
+    return base.drop("blocks"), stored(changed, "changed")
+
+
+def _starts(texts: DataFrame, classes: DataFrame, width: int, block: int) -> DataFrame:
+    """k1, k2, starts: places of the repeated windows of the classes of one. Stored."""
+    around = texts.mapInArrow(_extend(width, block), "k1 long, k2 long, at array<int>, hashes array<long>").dropDuplicates(["k1", "k2"])
+    chunked = stored(around.select(F.spark_partition_id().cast("long").alias("task"), "k1", "k2", "at", "hashes").mapInArrow(_chunked, _CHUNKED), "windows")
+    sums = chunked.filter("twice IS NOT NULL")
+    each = sums.select("chunk", F.explode("hashes").alias("h"), F.lit(1).alias("n")).unionByName(sums.select("chunk", F.explode("twice").alias("h"), F.lit(1).alias("n")))
+    repeated = stored(each.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "repeated")
+    back = sums.select("chunk", F.explode("hashes").alias("h")).join(repeated, "h").groupBy("chunk").agg(F.collect_list("h").alias("hashes"))
+    # a class of several needs no places: all its words go
+    single = classes.filter("copies = 1").select("k1", "k2")
+    rows = chunked.filter("twice IS NULL").join(single, ["k1", "k2"], "left_semi").select("chunk", F.lit(False).alias("first"), "k1", "k2", "at", "hashes")
+    none = F.lit(None)
+    lists = back.select("chunk", F.lit(True).alias("first"), none.cast("long").alias("k1"), none.cast("long").alias("k2"), none.cast("array<int>").alias("at"), "hashes")
+    dealt = lists.unionByName(rows).repartition("chunk").sortWithinPartitions("chunk", F.desc("first"))
+    return stored(dealt.mapInArrow(_marked, "k1 long, k2 long, starts array<int>"), "starts")
 
 
 def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs."""
-    base, classes, cut = _find(docs, width)
-    found = classes.join(cut.drop("kept"), ["k1", "k2"], "left").withColumnsRenamed({"k1": "_1", "k2": "_2"})
-    out = base.drop("blocks", "text_key").join(found, (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")), "left")
-    copied = F.coalesce(F.col("copies") > 1, F.lit(False))
-    return out.select(
-        "doc_id", "n_words", F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(copied, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
-    )
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = WordHasher()
-    for b in batches:
-        keys = [_sequence_key(hasher((t or b"").split())) for t in _column(b, "text")]
-        yield pa.record_batch([b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["doc_id", "k1", "k2"])
+    base, changed = _find(docs, width)
+    told = stored(changed.select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "copied", "n_removed", "kept_sha"), "told")
+    out = base.join(maybe_broadcast(told), (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")), "left")
+    gone = F.when(F.col("copied"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long")))
+    return out.select("doc_id", "n_words", gone.alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
 
 
 def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with text less its repeated passages, words joined by one space where any went. Here doc_id
-    must tell texts apart."""
-    _, classes, cut = _find(docs, width)
-    changed = stored(classes.join(cut, ["k1", "k2"], "left").filter("copies > 1 OR n_removed > 0").select("k1", "k2", F.when(F.col("copies") > 1, "").otherwise(F.col("kept")).alias("_kept")), "changed")
-    cols = docs.columns
-    keyed = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_keyed, "doc_id long, k1 long, k2 long")
-    new = stored(keyed.distinct().join(changed, ["k1", "k2"]), "new")
-    new = new.groupBy(F.col("doc_id").alias("_d")).agg(F.first("_kept").alias("_kept"))
-    return docs.join(maybe_broadcast(new), F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(*(F.coalesce("_kept", "text").alias("text") if c == "text" else c for c in cols))
+    """docs with text less its repeated passages, words joined by one space where any went. A text that
+    loses nothing stays as it is."""
+    base, changed = _find(docs, width)
+    new = base.filter(F.col("n_words") >= width).join(changed.filter("copied OR n_removed > 0"), ["k1", "k2"])
+    new = stored(new.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.first("kept").alias("_kept")), "new")
+    rows = as_row(docs, _doc=F.col("doc_id"), _key=text_key())
+    out = rows.join(maybe_broadcast(new), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    return unfolded(out.select(F.col("_row").withField("text", F.coalesce("_kept", "_row.text")).alias("_row")))

@@ -45,3 +45,26 @@ def test_substring_dedup_cuts_each_text_alone(spark):
 
     got = substring_dedup.digest(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((d, *brute(w))) for d, w in words)
+
+
+def test_small_chunks_and_clashing_names(spark, monkeypatch):
+    """Passages in many documents, chunks of a few windows, columns named as the operator's own."""
+    monkeypatch.setattr(substring_dedup, "CHUNK", 50)
+    monkeypatch.setattr(substring_dedup, "PROBES", 100)
+    shared = [_say(45, 20), _say(36, 21)]
+    rows = [(i if i % 4 else None, " ".join([_say(40 + i, 100 + i), shared[i % 2], _say(i, 200 + i), shared[0] if i % 5 == 0 else ""])) for i in range(40)]
+    rows += [(90, rows[3][1]), (90, rows[3][1]), (None, rows[4][1]), (91, ""), (92, None)]
+    df = spark.createDataFrame([(d, t, "a", "b", "c", "d") for d, t in rows], "doc_id long, text string, _kept string, _row string, _d string, _key string").repartition(4)
+    words = [(d, (t or "").encode().split()) for d, t in rows]
+    seen = Counter(tuple(w[i : i + 35]) for _, w in words for i in range(len(w) - 34))
+
+    def left(w):
+        gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        return len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone)
+
+    got = [tuple(r) for r in substring_dedup.digest(df).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((d, len(w), left(w)[0], hashlib.sha256(left(w)[1]).hexdigest())) for d, w in words)
+    out = substring_dedup.remove(df)
+    assert out.columns == df.columns
+    want = [(d, t if not left(w)[0] else left(w)[1].decode()) for (d, t), (_, w) in zip(rows, words, strict=True)]
+    assert sorted(repr((r.doc_id, r.text)) for r in out.collect()) == sorted(map(repr, want))
