@@ -14,8 +14,10 @@ The benchmark's vocabulary and windows are broadcast while their rows and bytes
 that the same joins shuffle, both sides dealt by the key and SALTS parts of it, since a term or a
 window may stand in a third of all documents.
 
-proximity() reads the same postings: places where a window's terms stand close together, in any
-order, as in an item whose words were changed or moved.
+near_matches() finds places where a window's terms stand close together, in any order, as in an item
+whose words were changed or moved. A document alone tells them once the rarest terms are known, so
+while the benchmark fits a broadcast no words are shuffled or stored; beyond that proximity() reads the
+same postings.
 
 Defined results: null or empty text has no words; an item without words or id has no windows;
 items that share an id are one item; each row is judged by its own text alone, also where its
@@ -77,15 +79,20 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return stored(_met(rows, wanted, "term", "left_semi"), "postings")
 
 
-def _ranked(postings: DataFrame, windows: DataFrame) -> DataFrame:
-    """window, k, off, term, rank of each term of each window, rarest first. Stored."""
-    df = maybe_broadcast(stored(postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies"))
-    flat = windows.select("window", "k", "terms").distinct().select("window", "k", F.posexplode("terms").alias("off", "term"))
-    flat = flat.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+def _by_rank(flat: DataFrame, df: DataFrame) -> DataFrame:
+    """_ranked() of windows (window, k, terms), by stored frequencies (term, df)."""
+    flat = flat.select("window", "k", F.posexplode("terms").alias("off", "term"))
+    flat = flat.join(maybe_broadcast(df), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     by = Window.partitionBy("window").orderBy("df", "off")
     return stored(flat.withColumn("rank", F.row_number().over(by)), "ranked")
 
 
+def _ranked(postings: DataFrame, windows: DataFrame) -> DataFrame:
+    """window, k, off, term, rank of each term of each window, rarest first. Stored."""
+    df = stored(postings.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    return _by_rank(windows.select("window", "k", "terms").distinct(), df)
+
+
 def phrases(postings: DataFrame, windows: DataFrame) -> DataFrame:
     """Exact matches: window, doc, key, start, k, distinct."""
     ranked = _ranked(postings, windows)
@@ -121,12 +128,37 @@ def proximity(postings: DataFrame, windows: DataFrame, slack: int = SLACK) -> Da
     return got.unionByName(single).distinct()
 
 
+def _beside(docs: DataFrame, windows: DataFrame, slack: int) -> DataFrame | None:
+    """proximity() of docs without a shuffle of words, where the benchmark fits a broadcast (else None).
+    Texts are read twice: for frequencies of terms, and for the words beside each rarest term. Rows that
+    share an id and a text count once in frequencies."""
+    vocabulary = stored(windows.select(F.explode("terms").alias("term")).distinct(), "terms")
+    flat = windows.select("window", "k", "terms").distinct()
+    if maybe_broadcast(vocabulary) is vocabulary or maybe_broadcast(flat) is flat:
+        return None
+    keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), text_key().alias("key"), "text")
+    times = stored(keyed.groupBy(*_DOC).agg(F.count("*").alias("times")).filter("times > 1"), "repeated")
+    words = F.transform(alnum_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")
+    rows = keyed.join(maybe_broadcast(times), _DOC, "left").select(*_DOC, F.coalesce("times", F.lit(1)).alias("times"), words)
+    used = rows.select("times", F.explode("words").alias("term")).join(F.broadcast(vocabulary), "term", "left_semi")
+    df = used.groupBy("term", "times").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum(F.expr("n div times")).alias("df"))
+    ranked = _by_rank(flat, stored(df, "frequencies"))
+    rare = ranked.groupBy("window", "k").agg(F.min_by("term", "rank").alias("term"), F.collect_set(F.when(F.col("rank") > 1, F.col("term"))).alias("rest"))
+    rare = stored(rare.select("window", "term", "rest", (F.col("k") + slack).alias("far")), "rare")
+    at = rows.select(*_DOC, "words", F.posexplode("words").alias("pos", "term")).join(F.broadcast(rare), "term")
+    low = F.greatest(F.col("pos") - F.col("far"), F.lit(0))
+    near = F.slice("words", low + 1, F.col("pos") + F.col("far") - low + 1)
+    return at.filter(F.size(F.array_except("rest", near)) == 0).select("window", *_DOC, "pos")
+
+
 def near_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, slack: int = SLACK) -> DataFrame:
     """item_id (string), doc_id, n_places: places of each document where the words of a window of the item
     stand close together; rows that share an id and a text count once."""
     windows = stored(item_windows(items, width), "windows")
-    postings = index(docs, windows.select(F.explode("terms").alias("term"))).distinct()
-    places = proximity(postings, windows, slack)
+    places = _beside(docs, windows, slack)
+    if places is None:
+        postings = stored(index(docs, windows.select(F.explode("terms").alias("term"))).distinct(), "postings")
+        places = proximity(postings, windows, slack)
     named = _met(places, stored(windows.select("window", "item").distinct(), "names"), "window")
     per = named.select("item", *_DOC, "pos").distinct().groupBy("item", *_DOC).agg(F.count("*").alias("n_places"))
     return per.select(F.col("item").alias("item_id"), F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), "n_places")

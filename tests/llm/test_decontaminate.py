@@ -59,6 +59,36 @@ def test_joins_agree(spark, rows, monkeypatch):
     assert sorted(repr(tuple(r)) for r in decontaminate.report(d, i, 4).collect()) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("rows", [None, 0])
+def test_repeated_rows_count_once(spark, rows, monkeypatch):
+    """Rows repeated with their id and text change neither which term is rarest nor a count."""
+    if rows is not None:
+        monkeypatch.setattr(decontaminate, "maybe_broadcast", lambda df: common.maybe_broadcast(df, rows))
+    docs, items = _table(5)
+    docs += docs[:8] * 4 + docs[2:5] * 3
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(repr((r.item_id, r.doc_id, r.n_places)) for r in decontaminate.near_matches(d, i, 4, 2).collect())
+    assert got == _brute_near(docs, items) and len(got) > 20
+
+
+def test_near_matches_move_no_words(spark):
+    """What is shuffled and stored follows the matches: here few words stand near each other, all are the benchmark's."""
+    rng = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(500))) for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(20))) for i in range(60)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).cache(), spark.createDataFrame(items, "item_id long, text string").cache()
+    assert d.count() == 400 and i.count() == 60
+    sc = spark.sparkContext
+    sc.setJobGroup("near", "near")
+    decontaminate.near_matches(d, i).collect()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("near") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    seen = [sc._jsc.sc().statusStore().lastStageAttempt(s) for s in stages]
+    assert sum(s.shuffleWriteBytes() + s.outputBytes() for s in seen) < 200_000 * 4
+
+
 def test_short_items_need_company(spark):
     names = "doc_id long, text string, _bad string, _bad_key string, _row string, key string, contaminated string"
     texts = ["so red green blue it is", "red green blue and one two", "one two only", "a b c d e f g h", "clean"]
