@@ -101,7 +101,10 @@ def delay_law(delays: DataFrame) -> Law:
 
 
 def delays(plan: Plan, t: Table, c: Column, frames: dict[str, DataFrame]) -> DataFrame:
-    """s: seconds from the anchor to the event, 0 at least, where both are given."""
+    """s: seconds from the anchor to the event, 0 at least, where both are given. Those to a parent's
+    anchor are stored: a law takes several passes, and each would join again."""
+    from tabloom.sources.files import stored
+
     df, anchor = frames[t.name], c.temporal.anchor
     event = micros(q(c.name))
     if "." in anchor:
@@ -110,7 +113,8 @@ def delays(plan: Plan, t: Table, c: Column, frames: dict[str, DataFrame]) -> Dat
         both = df.select(q(t.foreign_key).alias("__fk"), event.alias("__e")).join(above, F.col("__fk") == F.col("__key"))
     else:
         both = df.select(event.alias("__e"), micros(q(anchor)).alias("__a"))
-    return both.select(F.when(F.col("__e").isNotNull() & F.col("__a").isNotNull(), F.greatest((F.col("__e") - F.col("__a")) / F.lit(1e6), F.lit(0.0))).alias("s")).filter("s IS NOT NULL")
+    s = both.select(F.when(F.col("__e").isNotNull() & F.col("__a").isNotNull(), F.greatest((F.col("__e") - F.col("__a")) / F.lit(1e6), F.lit(0.0))).alias("s")).filter("s IS NOT NULL")
+    return stored(s, "delays") if "." in anchor else s
 
 
 # --- a plan --------------------------------------------------------------------------------

@@ -42,6 +42,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Shuffle files of a write are of no use after it; Spark removes them at its end where this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a scratch path and read again, so that what several passes read is made once."""
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table_path(out: str, t: Table) -> str:
     """Where a table's Parquet stands: under its source, if it has one."""
     return "/".join(filter(None, (out.rstrip("/"), t.source, t.name)))

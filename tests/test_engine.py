@@ -202,3 +202,51 @@ def test_medians_and_ranks(spark, monkeypatch):
 
 def test_query_registry():
     assert set(queries.SQL) <= set(queries.QUERIES) and len(queries.SQL) > 30
+
+
+@pytest.mark.parametrize("early", [0, 3])
+def test_delays_are_joined_once(spark, monkeypatch, early):
+    """However many passes a law takes; the same law as from the delays themselves."""
+    from tabloom.operators import fit as fitting
+
+    monkeypatch.setattr(stats, "MEDIAN_ROWS", 100)
+    plan = parse({"version": 1, "tables": {
+        "p": {"role": "root", "rows": 1, "primary_key": "p_id", "columns": {"p_id": {"type": "int64", "generator": "key"}, "at": {"type": "timestamp", "distribution": {"kind": "datetime_uniform", "start": "2024-01-01", "end": "2024-02-01"}}}},
+        "c": {"role": "child", "parent": "p", "primary_key": "c_id", "cardinality": {"kind": "fixed", "n": 3}, "child_stride": 4, "columns": {"c_id": {"type": "int64", "generator": "key"}, "p_id": {"type": "int64", "generator": "parent_key"}, "done": {"type": "timestamp", "temporal": {"anchor": "p.at", "delay": {"kind": "exponential", "rate": 1.0}}}}},
+    }})
+    stamp = lambda x: F.timestamp_seconds(x).cast("timestamp_ntz")
+    wait = F.when(F.col("id") % 10 < early, F.lit(-5)).otherwise(1 + F.pmod(F.xxhash64("id"), F.lit(999)))
+    p = spark.range(3000).select(F.col("id").alias("p_id"), stamp(F.lit(1_700_000_000) + F.col("id")).alias("at"))
+    c = spark.range(9000).select(F.col("id").alias("c_id"), (F.col("id") % 3000).alias("p_id"), stamp(F.lit(1_700_000_000) + F.col("id") % 3000 + wait).alias("done"))
+    t = plan.tables["c"]
+    s = fitting.delays(plan, t, t.columns["done"], {"p": p, "c": c})
+    law = fitting.delay_law(s)
+    waits = np.array([r[0] for r in spark.range(9000).select(F.greatest(wait, F.lit(0))).collect()], float)
+    if early:
+        assert law.kind == "exponential" and law.params["rate"] == pytest.approx(1 / waits.mean())
+    else:
+        assert law.kind == "lognormal" and law.params["mu"] == pytest.approx(np.median(np.log(waits)))
+        assert law.params["sigma"] == pytest.approx(np.log(waits).std())
+    assert "Join" not in s._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_queries_with_delays_join_once(spark, tmp_path):
+    """fit_delay shuffles its tables once."""
+    from tabloom.queries import fit_delay
+
+    n = 20_000
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("id"), F.lit(9_000_000)))
+    spark.range(n).select(F.col("id").alias("o_orderkey"), at.alias("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(3 * n).select((F.col("id") % n).alias("l_orderkey"), at.alias("l_shipdate")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    sc.setJobGroup("delay", "delay")
+    try:
+        assert fit_delay(spark, str(tmp_path)).first().n == 3 * n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("delay") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    rows = sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    assert 4 * n <= rows < 4 * n + 1000
